@@ -17,6 +17,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sensorgrid.llm.secrets import digest, find_secrets
+
+    return digest(find_secrets(_table(spark, sf_dir, "documents")))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP9_SQL = f"""
@@ -46,8 +52,10 @@ from d left join words using (rid) left join items using (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_decontaminate": op9_decontaminate}
+    return {"op2_secrets": op2_secrets, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": OP9_SQL}
+    from sensorgrid.llm import secrets
+
+    return {"op2_secrets": secrets.oracle(), "op9_decontaminate": OP9_SQL}
