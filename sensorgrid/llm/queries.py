@@ -23,6 +23,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sensorgrid.llm.language_model import train_and_score
+
+    return train_and_score(_table(spark, sf_dir, "documents"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP9_SQL = f"""
@@ -52,7 +58,7 @@ from d left join words using (rid) left join items using (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secrets": op2_secrets, "op9_decontaminate": op9_decontaminate}
+    return {"op2_secrets": op2_secrets, "op3_language_model": op3_language_model, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
