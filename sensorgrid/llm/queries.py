@@ -17,6 +17,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sensorgrid.llm.neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), every=50)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sensorgrid.llm.secrets import digest, find_secrets
 
@@ -58,10 +64,10 @@ from d left join words using (rid) left join items using (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secrets": op2_secrets, "op3_language_model": op3_language_model, "op9_decontaminate": op9_decontaminate}
+    return {"op1_neighbours": op1_neighbours, "op2_secrets": op2_secrets, "op3_language_model": op3_language_model, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    from sensorgrid.llm import secrets
+    from sensorgrid.llm import neighbours, secrets
 
-    return {"op2_secrets": secrets.oracle(), "op9_decontaminate": OP9_SQL}
+    return {"op1_neighbours": neighbours.oracle(), "op2_secrets": secrets.oracle(), "op9_decontaminate": OP9_SQL}
