@@ -47,6 +47,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_predict(_table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sensorgrid.llm.sentencepiece import encode
+
+    return encode(_table(spark, sf_dir, "documents"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP9_SQL = f"""
@@ -76,7 +82,7 @@ from d left join words using (rid) left join items using (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neighbours": op1_neighbours, "op2_secrets": op2_secrets, "op3_language_model": op3_language_model, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op9_decontaminate": op9_decontaminate}
+    return {"op1_neighbours": op1_neighbours, "op2_secrets": op2_secrets, "op3_language_model": op3_language_model, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op9_decontaminate": op9_decontaminate, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
