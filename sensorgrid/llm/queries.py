@@ -35,6 +35,12 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(_table(spark, sf_dir, "documents"))
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sensorgrid.llm.pii import digest, replace
+
+    return digest(replace(_table(spark, sf_dir, "documents")))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sensorgrid.llm.ngram_jaccard import join_similar
 
@@ -88,7 +94,7 @@ from d left join words using (rid) left join items using (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neighbours": op1_neighbours, "op2_secrets": op2_secrets, "op3_language_model": op3_language_model, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op9_decontaminate": op9_decontaminate, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_neighbours": op1_neighbours, "op2_secrets": op2_secrets, "op3_language_model": op3_language_model, "op4_surrogates": op4_surrogates, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op9_decontaminate": op9_decontaminate, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
