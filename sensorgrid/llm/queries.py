@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sensorgrid.llm.chat_format import parse_conversations
+
+    return parse_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sensorgrid.llm.decontamination import decontaminate
 
@@ -94,7 +100,7 @@ from d left join words using (rid) left join items using (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neighbours": op1_neighbours, "op2_secrets": op2_secrets, "op3_language_model": op3_language_model, "op4_surrogates": op4_surrogates, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op9_decontaminate": op9_decontaminate, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_neighbours": op1_neighbours, "op2_secrets": op2_secrets, "op3_language_model": op3_language_model, "op4_surrogates": op4_surrogates, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_chat_format": op8_chat_format, "op9_decontaminate": op9_decontaminate, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
