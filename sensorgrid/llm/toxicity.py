@@ -80,19 +80,24 @@ def _of_documents(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarra
     keys = np.concatenate([d * BUCKETS + f for f, d in parts])
     keys, counts = np.unique(keys, return_counts=True)
     cuts = np.searchsorted(keys, np.arange(len(offsets)) * BUCKETS)
-    return [((keys[a:b] % BUCKETS).astype(np.int32), counts[a:b].astype(np.float32)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [((keys[a:b] % BUCKETS).astype(np.int32), np.minimum(counts[a:b], 65535).astype(np.uint16)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Trains on bags of buckets; returns for each bucket its contribution to the log-odds of class 1 and its weight, and the bias."""
+    """Trains on bags of buckets, which it uses up; returns for each bucket its contribution to the log-odds of class 1 and its weight, and the bias."""
     rng = np.random.default_rng(seed)
-    met = np.zeros(BUCKETS, np.int64)
+    met = np.zeros(BUCKETS, np.int32)
     for ids, _ in bags:
         met[ids] += 1
-    weight = np.where(met >= MIN_DOCUMENTS, np.minimum(1, np.sqrt(FREQUENT * len(bags) / np.maximum(met, 1))), 0).astype(np.float32)
-    bags = [(ids[weight[ids] > 0], (counts * weight[ids])[weight[ids] > 0]) for ids, counts in bags]
-    shares = [counts / max(counts.sum(), 1) for _, counts in bags]
-    vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    weight = np.minimum(1, np.sqrt(FREQUENT * len(bags) / np.maximum(met, 1))).astype(np.float32)
+    weight[met < MIN_DOCUMENTS] = 0
+    used = np.flatnonzero(weight)
+    slot = np.zeros(BUCKETS, np.int32)
+    slot[used] = np.arange(len(used))
+    for i, (ids, counts) in enumerate(bags):  # in place, so that each text's unpruned features are freed at once
+        ids, counts = ids[weight[ids] > 0], (counts * weight[ids])[weight[ids] > 0]
+        bags[i] = slot[ids], (counts / max(counts.sum(), 1)).astype(np.float32)
+    vectors = (rng.random((len(used), DIMENSIONS), dtype=np.float32) * 2 - 1) / DIMENSIONS
     softmax, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
     squares = [np.full(x.shape, 1e-8, np.float32) for x in (vectors[:, 0], softmax, bias)]
     target = np.eye(2, dtype=np.float32)[toxic]
@@ -103,7 +108,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed: int
             rows = [i for i in order[at : at + BATCH] if len(bags[i][0])]
             if not rows:
                 continue
-            ids, share = np.concatenate([bags[i][0] for i in rows]), np.concatenate([shares[i] for i in rows])
+            ids, share = np.concatenate([bags[i][0] for i in rows]), np.concatenate([bags[i][1] for i in rows])
             cuts = np.cumsum([0, *(len(bags[i][0]) for i in rows[:-1])])
             mean = np.add.reduceat(vectors[ids] * share[:, None], cuts)
             logit = mean @ softmax + bias
@@ -118,7 +123,8 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed: int
             gradient += DECAY * vectors[distinct]
             squares[0][distinct] += (gradient**2).mean(axis=1)
             vectors[distinct] -= rate * gradient / np.sqrt(squares[0][distinct])[:, None]
-    told = weight * (vectors @ (softmax[:, 1] - softmax[:, 0]))
+    told = np.zeros(BUCKETS, np.float32)
+    told[used] = weight[used] * (vectors @ (softmax[:, 1] - softmax[:, 0]))
     return np.stack([told, weight], axis=1).astype(np.float32), float(bias[1] - bias[0])
 
 
@@ -149,8 +155,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     toxic = np.array(found.column("toxic"), np.int64)
     if len(set(toxic.tolist())) < 2:
         return np.zeros((BUCKETS, 2), np.float32), -np.inf
-    arrays = [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(b.as_py(), np.float32)) for a, b in zip(found.column("ids"), found.column("counts"), strict=True)]
-    return fit(arrays, toxic)
+    bags = [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(b.as_py(), np.uint16)) for a, b in zip(found.column("ids"), found.column("counts"), strict=True)]
+    del found
+    return fit(bags, toxic)
 
 
 def scores(column: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
