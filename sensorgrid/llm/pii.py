@@ -64,7 +64,7 @@ PATTERNS = {
     "card": rf"(?<![0-9A-Za-z]){_CARD}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?<![0-9][.-])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![.-]?[0-9])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9])",
     "person": rf"(?<![\p{{L}}\p{{M}}])(?:{_TITLE}\.? {_NAME}(?: {_NAME})?|{_one_of(' '.join(GIVEN.values()))} {_NAME})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
