@@ -145,23 +145,25 @@ def scan(items: Items, column: pa.Array) -> Iterator[tuple[int, int, list[set[st
             yield int(n_words[d]), int(n_hit[d]), found.get(d, set())
 
 
-def _result(ids: pa.Array, rows: list[tuple[int, int, set[str]]]) -> pa.RecordBatch:
+def _result(batch: pa.RecordBatch, rows: list[tuple[int, int, set[str]]], keep: bool) -> pa.RecordBatch:
     return pa.record_batch(
         {
-            "doc_id": ids.cast(pa.int64()),
+            "doc_id": batch.column("doc_id"),
             "n_words": pa.array([n for n, _, _ in rows], pa.int64()),
             "n_hit": pa.array([h for _, h, _ in rows], pa.int64()),
             "n_items": pa.array([len(x) for _, _, x in rows], pa.int64()),
             "items_sha256": pa.array([_digest(x) for _, _, x in rows], pa.string()),
             "contaminated": pa.array([h > 0 and 20 * h >= n for n, h, _ in rows], pa.bool_()),
         }
+        | ({"text": batch.column("text"), "kept": batch.column("kept")} if keep else {})
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_broadcast_words: int = MAX_BROADCAST_WORDS, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """A row of SCHEMA for each row of docs (doc_id, text), against benchmark (item_id, text)."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_broadcast_words: int = MAX_BROADCAST_WORDS, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row of SCHEMA for each row of docs (doc_id, text), against benchmark (item_id, text); with `keep`, also text and
+    kept, a struct of those columns."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("item_text"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.struct(*keep).alias("kept") for _ in [0] if keep))
     # The sum of the lengths bounds the words, the item count the ids; one number comes to the driver.
     load = items.agg(F.coalesce(F.sum(F.length("item_text") / 2 + 8), F.lit(0.0))).first()[0]
     if load <= max_broadcast_words:
@@ -169,16 +171,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_broadcast_words: in
     return _by_shuffle(docs, items, window, gram)
 
 
+def _schema(docs: DataFrame) -> str:
+    return SCHEMA + (f", text string, kept {docs.schema['kept'].dataType.simpleString()}" if "kept" in docs.columns else "")
+
+
 def _by_broadcast(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
     rows = items.distinct().collect()  # within max_broadcast_words
+    keep = "kept" in docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(([r.item for r in rows], [r.item_text for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Items(*sent.value, window, gram)
         for batch in batches:
-            yield _result(batch.column("doc_id"), list(scan(known, batch.column("text"))))
+            yield _result(batch, list(scan(known, batch.column("text"))), keep)
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, _schema(docs))
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
@@ -212,7 +219,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> Da
     of_items = items.distinct().select("item", F.col("item_text").alias("text")).mapInArrow(prints("item"), "item string, print long, kind int")
     pairs = of_docs.join(of_items, ["print", "kind"]).select("doc_id", "key", "item").distinct()
     with_items = pairs.join(items.distinct(), "item")
-    texts = keyed.dropDuplicates(["doc_id", "key"])
+    texts = keyed.select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"])
     checked = texts.join(with_items, texts.doc_id.eqNullSafe(with_items.doc_id) & (texts.key == with_items.key)).select(texts.doc_id, texts.key, "text", "item", "item_text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +238,8 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> Da
     # What meets in a group is bounded by the one document's own words.
     per_doc = ranges.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("item")).alias("items"), F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("ranges"))
     per_doc = per_doc.withColumnsRenamed({"doc_id": "hit_id", "key": "hit_key"})
-    joined = keyed.join(per_doc, keyed.doc_id.eqNullSafe(per_doc.hit_id) & (keyed.key == per_doc.hit_key), "left").select("doc_id", "text", "items", "ranges")
+    joined = keyed.join(per_doc, keyed.doc_id.eqNullSafe(per_doc.hit_id) & (keyed.key == per_doc.hit_key), "left").select(*docs.columns, "items", "ranges")
+    keep = "kept" in docs.columns
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,6 +250,6 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> Da
                     spans = found_ranges[d] or []
                     hit = _covered(np.array([x["starts"] for x in spans], np.int64), np.array([x["ends"] for x in spans], np.int64), int(n_words[d - row])) if spans else np.zeros(0)
                     rows.append((int(n_words[d - row]), int(hit.sum()), set(found_items[d] or ())))
-            yield _result(batch.column("doc_id"), rows)
+            yield _result(batch, rows, keep)
 
-    return joined.mapInArrow(finish, SCHEMA)
+    return joined.mapInArrow(finish, _schema(docs))

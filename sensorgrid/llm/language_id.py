@@ -182,15 +182,15 @@ def mean_probabilities(column: pa.Array, network: Network) -> np.ndarray:
 
 
 def predict(docs: DataFrame, names: list[str], network: Network | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, lang_pred, score) of docs (doc_id, text), with the columns `keep` carried along."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(has_letter("text"), F.col("text")).alias("told"), *(F.struct(*keep).alias("kept") for _ in [0] if keep))
-    kept = f", kept {rows.schema['kept'].dataType.simpleString()}" if keep else ""
+    """Rows (doc_id, lang_pred, score) of docs (doc_id, text); with `keep`, also text and kept, a struct of those columns."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", has_letter("text").alias("lettered"), *(F.struct(*keep).alias("kept") for _ in [0] if keep))
+    kept = f", text string, kept {rows.schema['kept'].dataType.simpleString()}" if keep else ""
     sent = docs.sparkSession.sparkContext.broadcast(network)  # a few thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = batch.column("told")
-            known = np.asarray(told.is_valid()) & (sent.value is not None)
+            told = batch.column("text")
+            known = np.asarray(batch.column("lettered")) & (sent.value is not None)
             p = mean_probabilities(told, sent.value) if sent.value is not None else np.zeros((len(told), 1))
             best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
             columns = {
@@ -198,7 +198,7 @@ def predict(docs: DataFrame, names: list[str], network: Network | None, keep: tu
                 "lang_pred": pa.array([names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], pa.string()),
                 "score": pa.array(np.where(known, np.minimum(p[np.arange(len(p)), best], 1.0), 0.0)),
             }
-            yield pa.record_batch(columns | ({"kept": batch.column("kept")} if keep else {}))
+            yield pa.record_batch(columns | ({"text": told, "kept": batch.column("kept")} if keep else {}))
 
     return rows.mapInArrow(run, SCHEMA + kept)
 

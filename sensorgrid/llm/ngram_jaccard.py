@@ -226,7 +226,8 @@ def _verify(threshold: float):
 
 
 def join_similar(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Rows (doc_id, text_hash, class_id, n_links, n_copies), one for each row of docs (doc_id, text)."""
+    """Rows (doc_id, text_hash, class_key, class_id, n_links, n_copies), one for each row of docs (doc_id, text). class_key
+    names the class, class_id is the least id in it (null if it has none)."""
     bands, rows = bands_and_rows(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketch = stored(docs.mapInArrow(_sketch(n, bands, rows, threshold), "doc_id long, text_hash long, f1 long, f2 long, bands array<long>"), "sketch")
@@ -253,5 +254,14 @@ def join_similar(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     known = classes.select("f1", "f2", "n_copies", "first_id").join(links, F.col("f1") == F.col("node"), "left").drop("node").join(found, F.col("f1") == F.col("node"), "left").drop("node")
     known = known.withColumn("root", F.coalesce("root", "f1"))
     least = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    told = known.join(least, "root").select("f1", "f2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), "n_copies")
-    return sketch.select("doc_id", "text_hash", "f1", "f2").join(told, ["f1", "f2"]).select("doc_id", "text_hash", "class_id", "n_links", "n_copies")
+    told = known.join(least, "root").select("f1", "f2", F.col("root").alias("class_key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), "n_copies")
+    return sketch.select("doc_id", "text_hash", "f1", "f2").join(told, ["f1", "f2"]).select("doc_id", "text_hash", "class_key", "class_id", "n_links", "n_copies")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) without all but one of each class: the one with the least id (null last), then
+    the least hash of the text; of repeated rows one."""
+    found = join_similar(docs, **options)
+    least = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")).alias("kept")).select("kept.*")
+    keyed = docs.withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(least, ["none", "id", "text_hash"], "left_semi").dropDuplicates(["none", "id", "text_hash"]).select(*docs.columns)
