@@ -6,17 +6,23 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-CAPTURE = T.StructType.fromDDL(
-    "capture_id string, ts_ms long, lat double, lon double, dimensions array<int>, payload_type string, metadata map<string,string>, payload binary"
-)
-#: What range queries and co-registration need; a payload never enters their shuffles.
-POSITION = ("capture_id", "ts_ms", "lat", "lon")
+_LONG, _DOUBLE, _STRING = T.LongType(), T.DoubleType(), T.StringType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+CAPTURE = _struct(
+    capture_id=_STRING, ts_ms=_LONG, lat=_DOUBLE, lon=_DOUBLE, dimensions=T.ArrayType(T.IntegerType()), payload_type=_STRING, metadata=T.MapType(_STRING, _STRING), payload=T.BinaryType()
+)
 
-MANIFEST = T.StructType.fromDDL("file string, n long, size long, ts_min long, ts_max long, lat_min double, lat_max double, lon_min double, lon_max double")
+MANIFEST = _struct(file=_STRING, n=_LONG, ts_min=_LONG, ts_max=_LONG, lat_min=_DOUBLE, lat_max=_DOUBLE, lon_min=_DOUBLE, lon_max=_DOUBLE, size=_LONG)
 
 #: The nested form of a manifest entry, as an index service would hold it.
-INDEX_ENTRY = T.StructType.fromDDL(
-    "specs array<struct<key:string,date_range:struct<gte:long,lte:long>,geo_range:struct<gte:double,lte:double>>>, blocks array<struct<file_name:string,locations:array<string>>>"
+INDEX_ENTRY = _struct(
+    specs=T.ArrayType(_struct(key=_STRING, date_range=_struct(gte=_LONG, lte=_LONG), geo_range=_struct(gte=_DOUBLE, lte=_DOUBLE))),
+    blocks=T.ArrayType(_struct(file_name=_STRING, locations=T.ArrayType(_STRING))),
 )
 
 
