@@ -29,13 +29,13 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tied_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as captures with few distinct times."""
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 400").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("capture_id"),
-        millis("l_shipdate").alias("ts_ms"),
-        F.col("l_quantity").alias("lat"),
-        F.col("l_discount").alias("lon"),
-        F.when(F.col("l_linenumber") == 1, 0).otherwise(1).alias("instrument"),
+    """Orders as captures with few distinct times and places."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("capture_id"),
+        millis("o_orderdate").alias("ts_ms"),
+        (F.col("o_custkey") % 20).cast("double").alias("lat"),
+        (F.col("o_custkey") % 7).cast("double").alias("lon"),
+        (F.col("o_orderkey") % 4).cast("int").alias("instrument"),
     )
 
 
