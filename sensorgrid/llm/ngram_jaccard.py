@@ -263,5 +263,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     the least hash of the text; of repeated rows one."""
     found = join_similar(docs, **options)
     least = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")).alias("kept")).select("kept.*")
-    keyed = docs.withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(least, ["none", "id", "text_hash"], "left_semi").dropDuplicates(["none", "id", "text_hash"]).select(*docs.columns)
+    key = [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *key)
+    return keyed.join(least, ["none", "id", "text_hash"], "left_semi").dropDuplicates(["none", "id", "text_hash"]).select("row.*")

@@ -1,29 +1,5 @@
-"""Folders that driver and executors share, and tables written there to cut lineage."""
+"""Where the operators put tables and files that all executors read."""
 
-from __future__ import annotations
+from sensorgrid.storage import checkpoint_dir, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where that is unset (tests on one machine), a temporary one is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if context.isDefined():
-            return context.get()
-        named = "file://" + tempfile.mkdtemp(prefix="sensorgrid-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: later plans start from the files, so a lost
-    executor costs one read and nothing upstream is computed twice."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["checkpoint_dir", "stored"]
