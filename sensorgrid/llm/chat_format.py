@@ -9,8 +9,8 @@ Rows are independent, so a task holds one batch of transcripts. `transcripts` ma
 conversation gives one transcript per PART turns, so that none grows without bound.
 
 Edge cases: a null or empty text has no turns and renders as an empty text; null ids are kept; a text that itself holds the
-canonical marks has them broken up by a space; without training transcripts uniform probabilities are used and markers
-alone decide; in `transcripts`, null turns come first, a null role is `user`, a null text is empty and repeated rows count
+canonical marks has them broken up by a space; without training transcripts markers alone
+decide; in `transcripts`, null turns come first, a null role is `user`, a null text is empty and repeated rows count
 once; ties go to the first state in the order of ROLES; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,6 +30,8 @@ PART = 128
 #: Bound of the training sample, in transcripts, and of the characters and turns of one of them that are learnt from.
 MAX_TRAINING = 2000
 SMOOTHING = 0.5
+#: Lines with the expected marker that each state is taken to have shown before training.
+PRIOR = 5
 
 #: The words that mark a speaker, by role.
 MARKERS = {
@@ -133,6 +135,8 @@ def counts(examples: list[tuple[str, list[tuple[str, str]]]]) -> Model:
     """Fits on pairs of a transcript and the (role, written text) of its turns, which it holds one after another."""
     start, step = np.zeros(STATES), np.zeros((STATES, STATES))
     seen = [np.zeros((STATES, w)) for w in _WIDTHS]
+    for state in range(STATES):  # before anything is learnt: a turn begins with its role's marker and goes on without one
+        seen[0][state, len(ROLES) if state % 2 else state // 2] = PRIOR
     for text, turns in examples:
         lines, gaps = split_lines(text)
         states = [2 * ROLES.index(role) + (k > 0) for role, written in turns for k in range(len(split_lines(written)[0]))]
