@@ -31,7 +31,7 @@ ORDER = 2
 #: Text bytes for which there is one shard.
 SHARD_BYTES = 16 << 20
 #: Tokens that a counting task adds up before it sends them on; it bounds the task's memory.
-BLOCK_TOKENS = 4 << 20
+BLOCK_TOKENS = 2 << 20
 
 _START, _END = (mix(np.array([x], np.uint64))[0] for x in (101, 103))
 _SHIFT = np.uint64(16)
