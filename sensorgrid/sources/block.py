@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sensorgrid.schema import CAPTURE, NUMERIC_TYPES
 
+#: Fixed value: the suffix of block files.
 SUFFIX = ".p2irc.bin"
 BLOCK_BYTES = 128 << 20
 #: Records in a batch that a reader hands on.
