@@ -9,7 +9,8 @@
    with the next attempt, until none is left. So what was different stays different.
 4. Each occurrence takes its entity's surrogate in its own punctuation and case.
 
-Only documents with an entity are shuffled, once; entities are made distinct within map tasks first, and a join on a
+Cheap tests (an @, a run of digits, a listed word) spare most texts the expression. Only documents with an entity are
+written down and shuffled, once; entities are made distinct within map tasks first, and a join on a
 frequent entity may be split by Spark. Documents without one pass through unmoved.
 
 Edge cases: a null text stays null and has no entities; a null doc_id is kept; repeated rows are replaced alike; an empty
@@ -67,10 +68,19 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])(?<![0-9][.-])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![.-]?[0-9])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9])",
     "person": rf"(?<![\p{{L}}\p{{M}}])(?:{_TITLE}\.? {_NAME}(?: {_NAME})?|{_one_of(' '.join(GIVEN.values()))} {_NAME})",
 }
+#: What every match of some kind but names holds, and the words of which a name holds one: cheap tests before the expression.
+_DIGITS = r"[0-9][0-9 .()-]{4,}[0-9]|[A-Z]{2}[0-9]{2}"
+_NAMED = tuple(dict.fromkeys(" ".join([*TITLES.values(), *GIVEN.values()]).split()))
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 KINDS = tuple(PATTERNS)
 
 
+def has_entity(text: Column) -> Column:
+    """Whether a text holds an entity; the whole expression runs only where one of the cheap tests passes."""
+    maybe = reduce(lambda a, w: a | F.contains(text, F.lit(w)), _NAMED, F.contains(text, F.lit("@")) | F.rlike(text, F.lit(_DIGITS)))
+    return F.coalesce(F.when(maybe, F.rlike(text, F.lit(ANY))), F.lit(False))
+
+
 def _kind(match: Column) -> Column:
     """The kind of a whole match, from its shape."""
     return (
@@ -224,9 +234,10 @@ def _rendered(part: Column, told: Column) -> Column:
 def replace(docs: DataFrame, key: str = KEY, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, text, entities, *keep): entities is a map from kind to the number of occurrences."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.struct(*keep).alias("kept") for _ in [0] if keep))
-    some = F.coalesce(F.rlike("text", F.lit(ANY)), F.lit(False))
+    some = has_entity(F.col("text"))
     matches = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    found = rows.where(some).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id"), "found": F.transform(matches, _parts)})
+    # Written, as both the entities and the new texts come from it.
+    found = stored(rows.where(some), "found").withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id"), "found": F.transform(matches, _parts)})
     parts = found.select("k1", "k2", F.explode(F.flatten("found")).alias("part")).where("part.kind is not null").select("k1", "k2", "part.kind", "part.canonical").distinct()
     known = mapping(parts.select("kind", "canonical").distinct(), key)
     # What is gathered for a document is bounded by its own entities.
