@@ -94,8 +94,13 @@ def _kind(match: Column) -> Column:
     )
 
 
+def _list(words: str) -> Column:
+    """The words as one constant array."""
+    return F.split(F.lit(words), " ")
+
+
 def _in(word: Column, words: str) -> Column:
-    return F.array_contains(F.array(*map(F.lit, words.split())), word)
+    return F.array_contains(_list(words), word)
 
 
 def _parts(match: Column) -> Column:
@@ -159,8 +164,7 @@ def luhn(digits: Column) -> Column:
 
 def _name(digest: Column, kind: Column) -> Column:
     def pick(words: str, at: int) -> Column:
-        words = words.split()
-        return F.element_at(F.array(*map(F.lit, words)), _number(digest, at, len(words)) + 1)
+        return F.element_at(_list(words), _number(digest, at, len(words.split())) + 1)
 
     out = None
     for script, roles in ENDINGS.items():
@@ -179,17 +183,24 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
     def made(d: Column) -> Column:
         n = F.length(canonical)
         top = F.length(F.regexp_extract(canonical, r"\.[a-z]+$", 0))
-        email = _each(canonical, lambda c, i: F.when(i >= n - top, c).otherwise(_like(d, c, i)))
-        kept = F.greatest(n - 10, F.lit(0))
-        phone = _each(canonical, lambda c, i: F.when(i < kept, c).when(i == kept, (_number(d, i, 8) + 2).cast("string")).otherwise(_like(d, c, i)))
-        card = _each(canonical, lambda c, i: F.when(i == 0, c).otherwise(_like(d, c, i)))
+        drawn = _each(canonical, lambda c, i: _like(d, c, i))
+
+        def kept(head: Column | int, tail: Column | int = 0) -> Column:
+            """The canonical form's first and last characters around drawn ones."""
+            head, tail = (F.lit(x) if isinstance(x, int) else x for x in (head, tail))
+            return F.concat(F.substr(canonical, F.lit(1), head), F.substr(drawn, head + 1, n - head - tail), F.substr(canonical, n - tail + 1, tail))
+
+        code = F.greatest(n - 10, F.lit(0))
+        phone = F.concat(F.substr(canonical, F.lit(1), code), (_number(d, code, 8) + 2).cast("string"), F.substr(drawn, code + 2, n))
+        card = kept(1)
         body = F.substr(card, F.lit(1), n - 1)
         check = F.pmod(F.lit(10) - luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
         card = F.when(luhn(canonical) % 10 == 0, F.concat(body, check)).otherwise(card)
-        ssn = _each(canonical, lambda c, i: _like(d, c, i))
-        iban = _each(canonical, lambda c, i: F.when(i < 2, c).otherwise(_like(d, c, i)))
         ip = F.concat_ws(".", (_number(d, 0, 223) + 1).cast("string"), *(_number(d, k, 256).cast("string") for k in (1, 2)), (_number(d, 3, 254) + 1).cast("string"))
-        return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "ip", ip).otherwise(_name(d, kind))
+        return (
+            F.when(kind == "email", kept(0, top)).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", drawn)
+            .when(kind == "iban", kept(2)).when(kind == "ip", ip).otherwise(_name(d, kind))
+        )
 
     value = F.transform(F.array(digest), made)[0]  # binds the hash once
     more = F.substr(F.regexp_replace(digest, "[^0-9]", ""), F.lit(1), F.greatest(attempt - ROUNDS, F.lit(0)))
@@ -201,7 +212,8 @@ def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
     entities = stored(entities, "entities")
     pending, done, attempt = entities, None, 0
     while True:
-        drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), F.lit(attempt), key))
+        # Written at once, so that the long expression is planned in a plan of its own.
+        drawn = stored(pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), F.lit(attempt), key)), "surrogates")
         first = Window.partitionBy("kind", "surrogate").orderBy("canonical")
         drawn = drawn.withColumn("place", F.row_number().over(first))
         taken = entities.select("kind", F.col("canonical").alias("surrogate"))
