@@ -16,8 +16,9 @@ once; ties go to the first state in the order of ROLES; an empty table gives an
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 ROLES = ("system", "user", "assistant")
 #: Turns of a conversation in one transcript.
 PART = 128
-#: Bound of the training sample, in transcripts, and of the characters and turns of one of them that are learnt from.
-MAX_TRAINING = 2000
 SMOOTHING = 0.5
 #: Lines with the expected marker that each state is taken to have shown before training.
 PRIOR = 5
@@ -131,22 +130,35 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|im_start|>{role}\n{text.replace('<|', '< |').strip()}<|im_end|>\n" for role, text in turns)
 
 
-def counts(examples: list[tuple[str, list[tuple[str, str]]]]) -> Model:
-    """Fits on pairs of a transcript and the (role, written text) of its turns, which it holds one after another."""
-    start, step = np.zeros(STATES), np.zeros((STATES, STATES))
-    seen = [np.zeros((STATES, w)) for w in _WIDTHS]
-    for state in range(STATES):  # before anything is learnt: a turn begins with its role's marker and goes on without one
-        seen[0][state, len(ROLES) if state % 2 else state // 2] = PRIOR
+#: Places of starts, transitions and observations in one array of counts.
+_PLACES = np.cumsum([0, STATES, STATES * STATES, *(STATES * w for w in _WIDTHS)])
+
+
+def tally(examples: Iterable[tuple[str, list[tuple[str, str]]]]) -> np.ndarray:
+    """Counts over pairs of a transcript and the (role, written text) of its turns, which it holds one after another."""
+    out = np.zeros(_PLACES[-1])
     for text, turns in examples:
         lines, gaps = split_lines(text)
-        states = [2 * ROLES.index(role) + (k > 0) for role, written in turns for k in range(len(split_lines(written)[0]))]
+        states = np.array([2 * ROLES.index(role) + (k > 0) for role, written in turns for k in range(len(split_lines(written)[0]))], np.int64)
         if len(states) != len(lines) or not lines:
             continue
-        start[states[0]] += 1
-        np.add.at(step, (states[:-1], states[1:]), 1)
+        out[states[0]] += 1
+        np.add.at(out, _PLACES[1] + states[:-1] * STATES + states[1:], 1)
         for k, values in enumerate(observe(lines, gaps).T):
-            np.add.at(seen[k], (states, values), 1)
-    return Model(start, step, seen)
+            np.add.at(out, _PLACES[2 + k] + states * _WIDTHS[k] + values, 1)
+    return out
+
+
+def fitted(told: np.ndarray) -> Model:
+    start, step, *seen = (told[a:b] for a, b in itertools.pairwise(_PLACES))
+    seen = [s.reshape(STATES, w) for s, w in zip(seen, _WIDTHS, strict=True)]
+    for state in range(STATES):  # before anything is learnt: a turn begins with its role's marker and goes on without one
+        seen[0][state, len(ROLES) if state % 2 else state // 2] += PRIOR
+    return Model(start, step.reshape(STATES, STATES), seen)
+
+
+def counts(examples: Iterable[tuple[str, list[tuple[str, str]]]]) -> Model:
+    return fitted(tally(examples))
 
 
 def held_out(conv_id: Column | str) -> Column:
@@ -168,9 +180,18 @@ def transcripts(turns: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> Model:
-    """Fits on up to MAX_TRAINING of the rows (conv_id, part, text, told), the first by a hash."""
-    rows = labelled.orderBy(F.xxhash64("conv_id", "part"), "conv_id", "part").limit(MAX_TRAINING).select("text", "told").collect()
-    return counts([(r.text, [(t.role, t.written) for t in r.told]) for r in rows])
+    """Fits on all rows (text, told): counts are added up in each batch and then in Spark, a number per parameter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = ([(t["role"], t["written"]) for t in turns] for turns in batch.column("told").to_pylist())
+            yield pa.record_batch({"n": pa.array([tally(zip(batch.column("text").to_pylist(), told, strict=True)).tolist()], pa.list_(pa.float64()))})
+
+    rows = labelled.select("text", "told").mapInArrow(run, "n array<double>").select(F.posexplode("n").alias("place", "n"))
+    told = np.zeros(_PLACES[-1])
+    for r in rows.groupBy("place").agg(F.sum("n").alias("n")).collect():  # as many rows as the model has parameters
+        told[r.place] = r.n
+    return fitted(told)
 
 
 def parse(texts: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
