@@ -1,10 +1,11 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark and scored from memory-mapped arrays.
 
-Counting. Map tasks hash words (48 bits a word), count n-grams per block of text and send one binary row per block and
+Counting. Map tasks hash words (48 bits a word), count n-grams per block of text and send one compressed row per block and
 shard; shards are ranges of the n-gram's hash, so their sizes are even whatever the words are. A shard adds up counts, writes
-its sorted hashes and counts as array files in the shared folder, and passes on (a) to the context's shard what the
-context needs: its total and its numbers of followers seen once, twice, three times or more, and (b) to the next lower
-order one continuation per distinct n-gram. Nothing but a few totals per shard comes to the driver.
+its sorted hashes and counts as array files in the shared folder, and passes on to the next lower order (a) what the
+context needs: its total and its numbers of followers seen once, twice, three times or more, and (b) one continuation per
+distinct n-gram. All orders are one job, so nothing is written between them but the shuffles. Nothing but a few totals per
+shard comes to the driver.
 
 Scoring. Workers map the files (pages are shared and evictable) and look up sorted, distinct queries.
 
@@ -15,6 +16,7 @@ scores are uniform; an empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ from sensorgrid.llm.files import mapped, write_array
 from sensorgrid.llm.shared import checkpoint_dir
 from sensorgrid.llm.words import SPACED, Words, chunks, mix
 
-ORDER = 2
+ORDER = 3
 #: Text bytes for which there is one shard.
 SHARD_BYTES = 16 << 20
 #: Tokens that a counting task adds up before it sends them on; it bounds the task's memory.
@@ -35,7 +37,11 @@ BLOCK_TOKENS = 2 << 20
 
 _START, _END = (mix(np.array([x], np.uint64))[0] for x in (101, 103))
 _SHIFT = np.uint64(16)
-BLOCKS = "level int, kind string, shard int, keys binary, counts binary"
+#: Distinct ids, rows, ids and counts of a row.
+_HEAD = struct.Struct("<QQQQ")
+#: The count from which a row is written whole.
+_LARGE = 255
+BLOCKS = "level int, kind string, shard int, data binary"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -76,21 +82,33 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[starts], order[starts], [np.add.reduceat(v[order], starts) if len(starts) else v[:0] for v in values]
 
 
-def _to_bytes(ids: np.ndarray) -> bytes:
-    """48-bit ids as six bytes each."""
-    flat = np.ascontiguousarray(ids.reshape(-1)).view(np.uint8).reshape(-1, 8)[:, :6]
-    return np.ascontiguousarray(flat).tobytes()
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of a flat array by significance: the high ones of small numbers are runs of zeros."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
 
 
-def _from_bytes(raw: bytes, n: int) -> np.ndarray:
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view(np.uint64).reshape(-1, n)
+def _from_planes(raw: np.ndarray, n: int, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(-1, n).T).view(kind).reshape(n)
 
 
-def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def _encoded(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rows of ids and counts, in another order: the distinct ids, the rows' places among them, the counts; compressed."""
+    words, at = np.unique(ids, return_inverse=True)
+    at = at.reshape(ids.shape).astype(np.uint32)
+    order = np.lexsort(at.T[::-1])
+    at, counts = at[order], counts[order].astype(np.uint32)
+    at[:, 0] = np.diff(at[:, 0], prepend=np.uint32(0))
+    raw = b"".join([_planes(np.diff(words, prepend=np.uint64(0))), *map(_planes, at.T), *map(_planes, counts.T)])
+    return _HEAD.pack(len(words), *ids.shape, counts.shape[1]) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m, n, k, width = _HEAD.unpack_from(data)
+    raw = np.frombuffer(pa.decompress(data[_HEAD.size :], decompressed_size=8 * m + 4 * n * (k + width), codec="zstd", asbytes=True), np.uint8)
+    words = np.cumsum(_from_planes(raw[: 8 * m], m, np.uint64), dtype=np.uint64)
+    columns = [_from_planes(x, n, np.uint32) for x in raw[8 * m :].reshape(k + width, 4 * n)]
+    columns[0] = np.cumsum(columns[0], dtype=np.uint32)
+    return words[np.stack(columns[:k], axis=1)], np.stack(columns[k:], axis=1)
 
 
 def _bounds(shards: int) -> np.ndarray:
@@ -98,26 +116,27 @@ def _bounds(shards: int) -> np.ndarray:
     return np.array([(-(-(s << 32) // shards)) << 32 for s in range(1, shards)], np.uint64)
 
 
-def _blocks(level: int, kind: str, keys: np.ndarray, place: np.ndarray, payload, counts: np.ndarray, shards: int) -> pa.RecordBatch:
-    """A row for each shard that has some of the sorted keys; payload(place) gives the bytes of those rows."""
+def _merged(level: int, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, their ids and the sums of their counts. Level 0 has words by full hash."""
+    keys, place, sums = _summed(_joined(ids) if level else ids[:, 0], *counts.T)
+    return keys, ids[place], np.stack(sums, axis=1)
+
+
+def _blocks(level: int, ids: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
+    """A row for each shard that has some of the keys."""
+    keys, ids, counts = _merged(level, ids, counts)
     cuts = np.concatenate([[0], np.searchsorted(keys, _bounds(shards)), [len(keys)]])
     some = np.flatnonzero(np.diff(cuts))
     return pa.record_batch(
         {
             "level": pa.array(np.full(len(some), level, np.int32)),
-            "kind": pa.array([kind] * len(some), pa.string()),
+            "kind": pa.array(["gram"] * len(some), pa.string()),
             "shard": pa.array(some.astype(np.int32)),
-            "keys": pa.array([payload(place[cuts[s] : cuts[s + 1]]) for s in some], pa.binary()),
-            "counts": pa.array([np.ascontiguousarray(counts[cuts[s] : cuts[s + 1]]).tobytes() for s in some], pa.binary()),
+            "data": pa.array([_encoded(ids[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]]) for s in some], pa.binary()),
         }
     )
 
 
-def _gram_blocks(ids: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
-    keys, place, (total,) = _summed(_joined(ids), counts)
-    return _blocks(ids.shape[1], "gram", keys, place, lambda at: _to_bytes(ids[at]), total.astype(np.uint32), shards)
-
-
 def _count(order: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -126,10 +145,9 @@ def _count(order: int, shards: int):
             if held:
                 ids, words = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
-                ones = np.ones(len(ids), np.uint32)
-                yield _gram_blocks(ids, ones, shards)
-                keys, _, (total,) = _summed(words, ones)
-                yield _blocks(1, "word", keys, np.arange(len(keys)), lambda at: keys[at].tobytes(), total.astype(np.uint32), shards)
+                ones = np.ones((len(ids), 1), np.uint32)
+                yield _blocks(order, ids, ones, shards)
+                yield _blocks(0, words[:, None], ones, shards)
 
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column("text")):
@@ -152,24 +170,27 @@ def _predicted(n: int, first: np.ndarray, order: int) -> np.ndarray:
     return np.flatnonzero(whole)
 
 
-def _reduce(path: str, level: int, shards: int):
-    """Adds up a shard's n-grams; writes them; gives what contexts and the next lower order need, and a row of totals."""
+def _reduce(path: str, shards: int):
+    """Adds up a shard's n-grams; writes them; gives what the next lower order needs, and a row of totals.
+
+    A row of a lower order has its continuations and, as a context, its total and numbers of followers.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        ids = np.concatenate([_from_bytes(x.as_py(), level) for x in table.column("keys")])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")])
-        keys, place, (total,) = _summed(_joined(ids), counts.astype(np.int64))
-        ids = ids[place]
-        write_array(f"{path}/gram{level}-{shard}-keys.npy", keys)
-        write_array(f"{path}/gram{level}-{shard}-counts.npy", total.astype(np.uint32))
-        out = [_totals(level, shard, total)]
-        contexts = _joined(ids[:, :-1])
-        seen = [(total == 1), (total == 2), (total >= 3)]
-        at, where, sums = _summed(contexts, total, *(x.astype(np.int64) for x in seen))
-        columns = np.stack(sums, axis=1).astype(np.uint32)
-        out.append(_blocks(level, "context", at, np.arange(len(at)), lambda i: at[i].tobytes(), columns, shards))
-        out.append(_gram_blocks(ids[:, 1:], np.ones(len(ids), np.uint32), shards))
+        level, kind, shard = (table.column(x)[0].as_py() for x in ("level", "kind", "shard"))
+        if kind == "totals":
+            return table
+        ids, counts = (np.concatenate(x) for x in zip(*(_decoded(x.as_py()) for x in table.column("data")), strict=True))
+        keys, ids, counts = _merged(level, ids, counts)
+        _write_counts(f"{path}/gram{level}-{shard}", keys, counts)
+        out = [_totals(level, shard, counts[:, 0])]
+        if level > 1 and counts[:, 0].any():
+            ids, total = ids[counts[:, 0] > 0], counts[counts[:, 0] > 0, 0]
+            n = len(ids)
+            lower = np.zeros((2 * n, 5), np.uint32)
+            lower[:n, 1:] = np.stack([total, total == 1, total == 2, total >= 3], axis=1)
+            lower[n:, 0] = 1
+            out.append(_blocks(level - 1, np.concatenate([ids[:, :-1], ids[:, 1:]]), lower, shards))
         return pa.Table.from_batches(out)
 
     return run
@@ -177,45 +198,22 @@ def _reduce(path: str, level: int, shards: int):
 
 def _totals(level: int, shard: int, counts: np.ndarray) -> pa.RecordBatch:
     """Counts of counts 1 to 4, number of n-grams, and their sum."""
-    told = np.array([*((counts == k).sum() for k in (1, 2, 3, 4)), len(counts), counts.sum()], np.int64)
-    return pa.record_batch({"level": pa.array([level], pa.int32()), "kind": ["totals"], "shard": pa.array([shard], pa.int32()), "keys": pa.array([told.tobytes()], pa.binary()), "counts": pa.array([b""], pa.binary())})
+    told = np.array([*((counts == k).sum() for k in (1, 2, 3, 4)), (counts > 0).sum(), counts.sum(dtype=np.int64)], np.int64)
+    return pa.record_batch({"level": pa.array([level], pa.int32()), "kind": ["totals"], "shard": pa.array([shard], pa.int32()), "data": pa.array([told.tobytes()], pa.binary())})
 
 
-def _reduce_contexts(path: str):
-    def run(table: pa.Table) -> pa.Table:
-        level, shard = table.column("level")[0].as_py(), table.column("shard")[0].as_py()
-        keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
-        columns = np.concatenate([np.frombuffer(x.as_py(), np.uint32).reshape(-1, 4) for x in table.column("counts")]).astype(np.int64)
-        keys, _, sums = _summed(keys, *columns.T)
-        write_array(f"{path}/context{level}-{shard}-keys.npy", keys)
-        write_array(f"{path}/context{level}-{shard}-counts.npy", np.stack(sums, axis=1).astype(np.uint32) if len(keys) else np.zeros((0, 4), np.uint32))
-        return pa.Table.from_batches([_totals(level, shard, sums[0])])
-
-    return run
-
-
-def _reduce_words(path: str):
-    """Words by full hash with their counts, and single-word continuation counts."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-        if kind == "word":
-            keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
-        else:
-            keys = _joined(np.concatenate([_from_bytes(x.as_py(), 1) for x in table.column("keys")]))
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64)
-        keys, _, (total,) = _summed(keys, counts)
-        write_array(f"{path}/{kind}1-{shard}-keys.npy", keys)
-        write_array(f"{path}/{kind}1-{shard}-counts.npy", total.astype(np.uint32))
-        return pa.Table.from_batches([_totals(0 if kind == "word" else 1, shard, total)])
-
-    return run
+def _write_counts(name: str, keys: np.ndarray, counts: np.ndarray) -> None:
+    """Counts take a byte each; rows with one of _LARGE or more are written whole, after their places."""
+    large = np.flatnonzero((counts >= _LARGE).any(axis=1))
+    write_array(f"{name}-keys.npy", keys)
+    write_array(f"{name}-counts.npy", np.minimum(counts, _LARGE).astype(np.uint8))
+    write_array(f"{name}-large.npy", np.concatenate([large[:, None], counts[large].astype(np.int64)], axis=1))
 
 
 class Model:
     """Where the arrays are, and the few numbers that belong to the whole model. Small enough to be sent with a task."""
 
-    def __init__(self, path: str, order: int, shards: int, present: dict[str, list[int]], totals: dict[int, np.ndarray]):
+    def __init__(self, path: str, order: int, shards: int, present: dict[int, list[int]], totals: dict[int, np.ndarray]):
         self.path, self.order, self.shards, self.present = path, order, shards, present
         none = np.zeros(6, np.int64)
         self.tokens, self.vocabulary = int(totals.get(0, none)[5]), int(totals.get(0, none)[4])
@@ -225,18 +223,24 @@ class Model:
             y = n1 / (n1 + 2 * n2)
             self.discounts[level] = np.array([0.0, *(min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
 
-    def _find(self, name: str, keys: np.ndarray, width: int = 1) -> np.ndarray:
-        """Counts of the keys (0 where there are none)."""
+    def _find(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """Rows of counts of the keys (0 where there are none)."""
         distinct, back = np.unique(keys, return_inverse=True)
         cuts = np.concatenate([[0], np.searchsorted(distinct, _bounds(self.shards)), [len(distinct)]])
-        out = np.zeros((len(distinct), width), np.int64)
-        for s in self.present.get(name, ()):
+        out = np.zeros((len(distinct), 5 if 0 < level < self.order else 1), np.int64)
+        for s in self.present.get(level, ()):
             part = distinct[cuts[s] : cuts[s + 1]]
-            table = mapped(f"{self.path}/{name}-{s}-keys.npy")
+            name = f"{self.path}/gram{level}-{s}"
+            table = mapped(f"{name}-keys.npy")
             if len(part) and len(table):
                 at = np.minimum(np.searchsorted(table, part), len(table) - 1)
                 ok = np.flatnonzero(table[at] == part)
-                out[cuts[s] + ok] = mapped(f"{self.path}/{name}-{s}-counts.npy")[at[ok]].reshape(-1, width)
+                found = mapped(f"{name}-counts.npy")[at[ok]].astype(np.int64)
+                beyond = np.flatnonzero((found == _LARGE).any(axis=1))
+                if len(beyond):
+                    large = mapped(f"{name}-large.npy")
+                    found[beyond] = large[np.searchsorted(large[:, 0], at[ok[beyond]]), 1:]
+                out[cuts[s] + ok] = found
         return out[back]
 
     def probabilities(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -246,15 +250,15 @@ class Model:
         n1, n2, _, _, types, total = (int(x) for x in self.continuations)
         uniform = 1.0 / (self.vocabulary + 1)
         if total:
-            c = self._find("gram1", _joined(ids[ends, None]))[:, 0]
+            c = self._find(1, _joined(ids[ends, None]))[:, 0]
             rest = (d[1] * n1 + d[2] * n2 + d[3] * (types - n1 - n2)) / total
             p = np.maximum(c - d[np.minimum(c, 3)], 0) / total + rest * uniform
         else:
             p = np.full(len(ends), uniform)
         for level in range(2, self.order + 1):
             grams = np.stack([ids[ends - j] for j in range(level - 1, -1, -1)], axis=1)
-            stats = self._find(f"context{level}", _joined(grams[:, :-1]), 4)
-            c = self._find(f"gram{level}", _joined(grams))[:, 0]
+            stats = self._find(level - 1, _joined(grams[:, :-1]))[:, 1:]
+            c = self._find(level, _joined(grams))[:, 0]
             d, total = self.discounts[level], np.maximum(stats[:, 0], 1)
             gamma = (stats[:, 1:] @ d[1:]) / total
             p = np.where(stats[:, 0] > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / total + gamma * p, p)
@@ -267,7 +271,7 @@ class Model:
             words, first = _tokens(data, offsets, self.order - 1)
             ends = _predicted(len(words), first, self.order)
             starts = np.searchsorted(ends, first[:-1])
-            c = self._find("word1", words[ends])[:, 0]
+            c = self._find(0, words[ends])[:, 0]
             base = np.log10((c + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
             full = np.log10(self.probabilities(words, ends))
             known = (c > 0).astype(np.int64)
@@ -283,34 +287,14 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     docs = docs.select("text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    blocks = docs.mapInArrow(_count(order, shards), BLOCKS)
+    found = docs.mapInArrow(_count(order, shards), BLOCKS)  # one pass over the texts feeds the n-grams and the single words
+    for _ in range(order):  # each group is one shard, whose size SHARD_BYTES bounds; totals pass through
+        found = found.groupBy("level", "kind", "shard").applyInArrow(_reduce(path, shards), BLOCKS)
     totals: dict[int, np.ndarray] = {}
-    present: dict[str, list[int]] = {}
-
-    def reduced(df: DataFrame, function) -> DataFrame:
-        """Each group is one shard, whose size SHARD_BYTES bounds. The result is written, so that it is made once."""
-        name = f"{path}/blocks-{uuid.uuid4().hex}"
-        df.groupBy("level", "kind", "shard").applyInArrow(function, BLOCKS).write.parquet(name)
-        return spark.read.schema(BLOCKS).parquet(name)
-
-    def note(df: DataFrame, name: str, level: int | None = None) -> None:
-        for r in df.where("kind = 'totals'").collect():  # one small row per shard
-            present.setdefault(name, []).append(r.shard)
-            if level is not None:
-                totals[level] = totals.get(level, 0) + np.frombuffer(r["keys"], np.int64)
-
-    def first(table: pa.Table) -> pa.Table:
-        of_words = table.column("kind")[0].as_py() == "word"
-        return (_reduce_words(path) if of_words else _reduce(path, order, shards))(table)
-
-    found = reduced(blocks, first)  # one pass over the texts feeds the n-grams and the single words
-    note(found.where("level = 0"), "word1", 0)
-    note(found.where(F.col("level") == order), f"gram{order}", order)
-    for level in range(order, 1, -1):
-        note(reduced(found.where((F.col("kind") == "context") & (F.col("level") == level)), _reduce_contexts(path)), f"context{level}")
-        step = _reduce(path, level - 1, shards) if level > 2 else _reduce_words(path)
-        found = reduced(found.where((F.col("kind") == "gram") & (F.col("level") == level - 1)), step)
-        note(found.where(F.col("level") == level - 1), f"gram{level - 1}", level - 1)
+    present: dict[int, list[int]] = {}
+    for r in found.collect():  # one small row per level and shard
+        present.setdefault(r.level, []).append(r.shard)
+        totals[r.level] = totals.get(r.level, 0) + np.frombuffer(r["data"], np.int64)
     return Model(path, order, shards, present, totals)
 
 

@@ -64,3 +64,19 @@ def test_nothing_to_learn_from(spark, documents):
     only = next(i for i in range(100) if held(i))
     row = train_and_score(documents([(only, "a b")])).first()
     assert row.held_out and row.n_known == 0 and row.train_tokens == 0 and row.score == pytest.approx(0.0)
+
+
+def test_query_counts_trigrams(spark, documents, prose, tmp_path):
+    from sensorgrid.llm.queries import op3_language_model
+
+    rows = [(i, prose(30, i)) for i in range(40)]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.score for r in op3_language_model(spark, str(tmp_path)).collect()}
+    assert found == pytest.approx({r[0]: r[6] for r in brute(rows, 3)}, rel=1e-9)
+    assert found != pytest.approx({r[0]: r[6] for r in brute(rows, 2)}, rel=1e-3)
+
+
+def test_large_counts_are_kept_whole(spark, documents):
+    rows = [(i, "a b c " * 300 + "d e") for i in range(30)]
+    found = {r.doc_id: r.score for r in train_and_score(documents(rows), 3).collect()}
+    assert found == pytest.approx({r[0]: r[6] for r in brute(rows, 3)}, rel=1e-9)
