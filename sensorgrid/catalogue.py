@@ -388,7 +388,13 @@ def coregister_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"with {_CAP} select capture_id, ts_ms, lat, lon, json_extract_string(props, '$.k') as k from cap where {_BOX}")
 def block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures of a box, encoded as block files and decoded, a block for each day."""
+    """All captures, encoded as block files and decoded; then those of a box."""
+    back = BOX.apply(_through_blocks(captures(spark, sf_dir)))
+    return back.select(F.col("payload").cast("string").cast("long").alias("capture_id"), "ts_ms", "lat", "lon", F.try_element_at("metadata", F.lit("k")).alias("k"))
+
+
+def _through_blocks(rows: DataFrame) -> DataFrame:
+    """Captures as block files give them back, a block for each Arrow batch; the payload is the id."""
     import struct
     from collections.abc import Iterator
 
@@ -396,7 +402,7 @@ def block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from sensorgrid.sources import block
 
-    rows = BOX.apply(captures(spark, sf_dir)).select(F.col("capture_id").cast("string").alias("capture_id"), "ts_ms", "lat", "lon", "metadata")
+    rows = rows.select(F.col("capture_id").cast("string").alias("capture_id"), "ts_ms", "lat", "lon", "metadata")
 
     def run(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in read:
@@ -406,5 +412,4 @@ def block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from sensorgrid.sources.dispatch import CAPTURE_DDL
 
-    back = rows.mapInArrow(run, CAPTURE_DDL)
-    return back.select(F.col("payload").cast("string").cast("long").alias("capture_id"), "ts_ms", "lat", "lon", F.try_element_at("metadata", F.lit("k")).alias("k"))
+    return rows.mapInArrow(run, CAPTURE_DDL)
