@@ -6,8 +6,8 @@ vectors and softmax are trained together with Adagrad. A misspelt word still sha
 learnt. Buckets met in fewer than MIN_DOCUMENTS of the sample have weight zero, so that they cannot learn single texts.
 
 As the average and the softmax are both linear, scoring needs two numbers per bucket, a table of fixed size (16 MiB), which
-is broadcast. Training takes at most MAX_TOXIC + MAX_CLEAN labelled documents, the first by a hash of the id; their features are
-extracted in Spark.
+is broadcast. Training takes at most MAX_TOXIC + MAX_CLEAN labelled documents, the first by a hash of the id, each counted once; their
+features are extracted in Spark.
 
 Edge cases: a null text is an empty one; a text without words is scored by the bias alone; a null doc_id hashes as an
 empty string; unlabelled rows and null labels are not learnt from; rows with several labels count as toxic if one says so;
@@ -131,9 +131,10 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed: int
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Fits on the labelled documents that are not held out; labels (doc_id, toxic)."""
     told = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("labelled"), "toxic")
+    told = told.groupBy("labelled").agg(F.max("toxic").alias("toxic"))
+    told = told.join(docs.select(F.col("doc_id").cast("long").alias("labelled")), "labelled", "left_semi")
     order = F.xxhash64("labelled"), F.col("labelled")
     chosen = told.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).union(told.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN))
-    chosen = chosen.groupBy("labelled").agg(F.max("toxic").alias("toxic"))
     # At most MAX_TOXIC + MAX_CLEAN ids are broadcast.
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
 

@@ -43,6 +43,20 @@ def test_toxicity_edge_cases(spark, documents, odd):
     assert toxicity.train_and_score(documents([]), some).count() == 0
 
 
+def test_toxicity_sample_has_distinct_documents(spark, documents, prose, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 8)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 8)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda bags, toxic: seen.append(sorted(toxic.tolist())))
+    ids = [i for i in range(60) if crc(i) % 3 != 1][:30]
+    repeated = [(i, i % 2) for i in ids for _ in range(20)]
+    missing = [(1000 + i, i % 2) for i in range(400)]
+    both = [(i, 0) for i in ids if i % 2]
+    table = spark.createDataFrame(repeated + missing + both, "doc_id long, toxic int")
+    toxicity.train(documents([(i, prose(20, i)) for i in ids]), table)
+    assert seen == [[0] * 8 + [1] * 8]
+
+
 LANGS = {
     "en": "the and that with from which would there their about people these other because through".split(),
     "de": "der und nicht mit eine werden sich auch nach über können durch wenn schon zwischen".split(),
