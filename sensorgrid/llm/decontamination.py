@@ -191,9 +191,8 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, window: int, gram: int) ->
 def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
     """For benchmarks of any size: fingerprints meet in a join; only documents that share one go on to verification."""
     keyed = docs.withColumn("key", F.xxhash64(F.lit(1), "text"))
-    lengths = items.select(F.length("item_text").alias("n"), "item_text").where(F.col("n") < 1 << 16)
     words = F.size(F.regexp_extract_all(F.lower("item_text"), F.lit("[a-z0-9\\x{80}-\\x{10FFFF}]+"), F.lit(0)))
-    short = sorted(r.w for r in lengths.select(words.alias("w")).where(F.col("w").between(1, window - 1)).distinct().collect())  # fewer than `window` rows
+    short = sorted(r.w for r in items.select(words.alias("w")).where(F.col("w").between(1, window - 1)).distinct().collect())  # fewer than `window` rows
 
     def prints(name: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

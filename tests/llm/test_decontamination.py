@@ -55,3 +55,12 @@ def test_empty_tables_and_kept_columns(spark, documents, odd, bound):
     assert sorted((x.text or "~", x.kept.n_chars) for x in found) == sorted((t or "~", len(t or "")) for _, t in odd)
     some = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontaminate(documents([]), some, bound).count() == 0
+
+
+@pytest.mark.parametrize("bound", [1 << 22, 0])
+def test_short_items_of_many_characters(spark, documents, bound):
+    items = [(1, "alpha" + "!" * 70000 + "beta"), (2, "x" * 70000)]
+    docs = [(1, "gamma alpha beta delta"), (2, "gamma " + "x" * 70000), (3, "gamma delta")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate(documents(docs), table, bound).collect()
+    assert sorted(tuple(x) for x in found) == brute(docs, items)
