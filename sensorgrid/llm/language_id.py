@@ -9,7 +9,7 @@ hash of the id) and up to WINDOWS_EACH windows of each, spread over the text. It
 broadcast.
 
 Edge cases: a null text or one without a letter is `und` with score 0; a null doc_id hashes as an empty string; rows
-without a language are not learnt from; ties go to the first language by name; repeated rows each get a row; if nothing
+without a language or an id are not learnt from; ties go to the first language by name; repeated rows each get a row; if nothing
 could be learnt, every text is `und`; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -139,7 +139,7 @@ def train(docs: DataFrame, where: Column | None = None) -> tuple[list[str], Netw
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & has_letter("text") & ~held_out("doc_id"))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
     # Each task keeps its first MAX_PER_LANGUAGE of a language before the rows meet, so a common language is no hot group.
-    ids = told.select("doc_id", "lang").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= MAX_PER_LANGUAGE).select("doc_id", "lang")
+    ids = told.select("doc_id", "lang").where(F.col("doc_id").isNotNull()).distinct().withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= MAX_PER_LANGUAGE).select("doc_id", "lang")
     common = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
     chosen = ids.join(F.broadcast(common), "lang").distinct().withColumnsRenamed({"doc_id": "chosen", "lang": "chosen_lang"})
     # At most MAX_PER_LANGUAGE x MAX_LANGUAGES ids are broadcast.

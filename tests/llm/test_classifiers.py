@@ -159,3 +159,13 @@ def test_viterbi_is_the_best_path():
 
     best = max(itertools.product(range(chat_format.STATES), repeat=len(seen)), key=worth)
     assert np.isclose(worth(best), worth(tuple(model.viterbi(seen))))
+
+
+def test_repeated_and_null_ids_leave_room_for_texts(spark, documents, prose, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_PER_LANGUAGE", 5)
+    seen = []
+    monkeypatch.setattr(language_id.Network, "fit", lambda self, windows, classes: seen.append(len(windows)))
+    ids = [i for i in range(40) if crc(i) % 4 != 2]
+    rows = [(i, prose(10, i)) for i in ids for _ in range(10)] + [(None, prose(10, 99))] * 50
+    language_id.train(documents(rows))
+    assert seen == [5]
