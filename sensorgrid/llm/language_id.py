@@ -30,6 +30,7 @@ FILTERS = 16
 EMBEDDING = 8
 #: Bounds of the training sample.
 MAX_PER_LANGUAGE = 500
+#: Languages beyond which each gets a smaller sample.
 MAX_LANGUAGES = 200
 WINDOWS_EACH = 4
 EPOCHS, BATCH, RATE = 6, 32, 0.004
@@ -139,10 +140,11 @@ def train(docs: DataFrame, where: Column | None = None) -> tuple[list[str], Netw
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & has_letter("text") & ~held_out("doc_id"))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
     # Each task keeps its first MAX_PER_LANGUAGE of a language before the rows meet, so a common language is no hot group.
-    ids = told.select("doc_id", "lang").where(F.col("doc_id").isNotNull()).distinct().withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= MAX_PER_LANGUAGE).select("doc_id", "lang")
-    common = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    chosen = ids.join(F.broadcast(common), "lang").distinct().withColumnsRenamed({"doc_id": "chosen", "lang": "chosen_lang"})
-    # At most MAX_PER_LANGUAGE x MAX_LANGUAGES ids are broadcast.
+    ids = told.select("doc_id", "lang").where(F.col("doc_id").isNotNull()).distinct().withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= MAX_PER_LANGUAGE)
+    # The more languages, the fewer documents of each; every language keeps one at least.
+    each = ids.where("n = 1").agg(F.greatest(F.lit(1), F.floor(F.lit(MAX_PER_LANGUAGE * MAX_LANGUAGES) / F.greatest(F.lit(1), F.count("*")))).alias("each"))
+    chosen = ids.crossJoin(F.broadcast(each)).where("n <= each").select(F.col("doc_id").alias("chosen"), F.col("lang").alias("chosen_lang"))
+    # At most MAX_PER_LANGUAGE x MAX_LANGUAGES ids are broadcast, or one for each language.
     sample = told.join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

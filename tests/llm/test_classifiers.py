@@ -169,3 +169,12 @@ def test_repeated_and_null_ids_leave_room_for_texts(spark, documents, prose, mon
     rows = [(i, prose(10, i)) for i in ids for _ in range(10)] + [(None, prose(10, 99))] * 50
     language_id.train(documents(rows))
     assert seen == [5]
+
+
+def test_every_language_is_trained_on(spark, documents, prose, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    monkeypatch.setattr(language_id, "MAX_PER_LANGUAGE", 6)
+    monkeypatch.setattr(language_id.Network, "fit", lambda self, windows, classes: seen.append(len(windows)))
+    seen, ids = [], [i for i in range(60) if crc(i) % 4 != 2]
+    names, _ = language_id.train(documents([(i, prose(10, i)) for i in ids], {k: "abcd"[k % 4] for k in range(len(ids))}))
+    assert names == ["a", "b", "c", "d"] and seen == [12]
