@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import struct
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +16,12 @@ from sensorgrid.functions.distance import distance
 from sensorgrid.functions.payload import as_bytes, as_longs, as_shorts, mapped, n_samples, packed, threshold16, threshold_samples
 from sensorgrid.functions.timestamps import millis, parse_millis
 from sensorgrid.operators.captures import edges, first_rows, host_frequency, host_load, least_loaded, tagged_union
-from sensorgrid.operators.coregister import coregister, per_primary
+from sensorgrid.operators import naive
+from sensorgrid.operators.coregister import coregister, nested, per_primary
 from sensorgrid.plans import manifest
 from sensorgrid.query import RangeQuery
+from sensorgrid.sources import block, hdf5
+from sensorgrid.sources.dispatch import CAPTURE_DDL, open_captures, save_captures
 from sensorgrid.storage import checkpoint_dir
 from sensorgrid.testdata import captures, samples, table, tied_captures
 
@@ -87,13 +94,15 @@ _filtered("filter_box", BOX, _BOX)
 
 def _dataset(spark: SparkSession, sf_dir: str) -> str:
     """The captures as a clustered dataset with its manifest, in the shared folder."""
-    import uuid
-
-    uri = f"{checkpoint_dir(spark).rstrip('/')}/captures-{uuid.uuid4().hex}"
+    uri = _folder(spark)
     manifest.ingest(captures(spark, sf_dir), uri, files=8)
     return uri
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/captures-{uuid.uuid4().hex}"
+
+
 @_query(_SQL["filter_box"])
 def filter_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _position(manifest.read(spark, _dataset(spark, sf_dir), BOX))
@@ -306,10 +315,18 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(spark, sf_dir).select("capture_id", distance(F.col("ts_ms"), F.col("lat"), F.col("lon"), *here).alias("d"))
 
 
-@_query("select p_partkey as id, greatest(1, cast(ceil(p_retailprice / 128) as bigint)) as splits, cast(p_size * 10 as bigint) // greatest(1, cast(ceil(p_retailprice / 128) as bigint)) as step from part")
+@_query("""with p as (select p_partkey as id, cast(p_retailprice as bigint) as length, p_size as n from part),
+q as (select *, greatest(1, least(n, -(-length // 128))) as parts from p), r as (select *, unnest(range(parts)) as i from q)
+select id, i as part, i * (n // parts) as start_at, case when i = parts - 1 then n else (i + 1) * (n // parts) end as end_at from r""")
 def split_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("p_retailprice") / 128))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), n.alias("splits"), F.floor(F.col("p_size") * 10 / n).cast("long").alias("step"))
+    """The splits that the array-file reader makes of a file of so many bytes and datasets."""
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("long").alias("length"), F.col("p_size").cast("long").alias("n"))
+
+    def plan(read: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in read:
+            yield pd.DataFrame([(r.id, i, a, b) for r in batch.itertuples() for i, (a, b) in enumerate(hdf5.splits(r.length, r.n, 128))], columns=["id", "part", "start_at", "end_at"])
+
+    return files.mapInPandas(plan, "id long, part long, start_at long, end_at long")
 
 
 # Range algebra
@@ -383,33 +400,90 @@ def coregister_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coregister(tied_captures(spark, sf_dir), "walk")
 
 
+@_query(f"""with {_CAP}, {_NUMBERED}, {_WALK}, m as (select primary_id, instrument, array_to_string(list(cast(capture_id as varchar) order by capture_id), ',') as ids from a group by all),
+n as (select primary_id, string_agg(instrument || '=' || ids, ';' order by instrument) as associated from m group by all)
+select p.primary_id as capture_id, coalesce(n.associated, '') as associated from p left join n using (primary_id)""")
+def nested_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every primary with the captures associated with it, by instrument."""
+    rows = captures(spark, sf_dir)
+    every = nested(coregister(rows, "walk"), rows.where("instrument = 0").select("capture_id"))
+    entry = lambda e: F.concat_ws("=", e["key"].cast("string"), F.array_join(e["value"], ","))
+    return every.select("capture_id", F.array_join(F.transform(F.array_sort(F.map_entries("associated")), entry), ";").alias("associated"))
+
+
 # Formats: what is written and read again is what was there
 
 
-@_query(f"with {_CAP} select capture_id, ts_ms, lat, lon, json_extract_string(props, '$.k') as k from cap where {_BOX}")
-def block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All captures, encoded as block files and decoded; then those of a box."""
-    back = BOX.apply(_through_blocks(captures(spark, sf_dir)))
-    return back.select(F.col("payload").cast("string").cast("long").alias("capture_id"), "ts_ms", "lat", "lon", F.try_element_at("metadata", F.lit("k")).alias("k"))
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures with all that the formats hold; the payload is the id."""
+    told = F.col("capture_id").cast("string")
+    return captures(spark, sf_dir).select(
+        told.alias("capture_id"), "ts_ms", "lat", "lon", F.array(F.length(told)).alias("dimensions"), F.lit("UINT8").alias("payload_type"), "metadata", told.cast("binary").alias("payload")
+    )
 
 
-def _through_blocks(rows: DataFrame) -> DataFrame:
-    """Captures as block files give them back, a block for each Arrow batch; the payload is the id."""
-    import struct
-    from collections.abc import Iterator
+def _read_back(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("payload").cast("string").cast("long").alias("capture_id"), "ts_ms", "lat", "lon", F.col("dimensions")[0].cast("long").alias("n"), F.try_element_at("metadata", F.lit("k")).alias("k"))
+
+
+_KEPT = "capture_id, ts_ms, lat, lon, cast(length(cast(capture_id as varchar)) as bigint) as n"
+
 
-    import pyarrow as pa
+@_query(f"with {_CAP} select {_KEPT}, json_extract_string(props, '$.k') as k from cap")
+def block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All captures through block files of a folder: a part of them appended to the rest."""
+    rows, uri = _whole(spark, sf_dir), _folder(spark)
+    part = F.col("capture_id").cast("long") % 3 == 0
+    save_captures(rows.where(~part), uri, "block")
+    save_captures(rows.where(part), uri, "block", "append")
+    return _read_back(open_captures(spark, uri))
 
-    from sensorgrid.sources import block
 
-    rows = rows.select(F.col("capture_id").cast("string").alias("capture_id"), "ts_ms", "lat", "lon", "metadata")
+@_query(f"with {_CAP} select {_KEPT}, json_extract_string(props, '$.k') as k from cap where {_BOX}")
+def block_files_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of a box, from those block files whose zones meet it."""
+    uri = _folder(spark)
+    save_captures(_whole(spark, sf_dir).repartitionByRange(16, "ts_ms", "lat", "lon"), uri, "block")
+    return _read_back(open_captures(spark, uri, BOX))
+
+
+@_query(f"with {_CAP} select {_KEPT}, cast(null as varchar) as k from cap")
+def array_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All captures through array files of a folder, which hold no metadata."""
+    uri = _folder(spark)
+    save_captures(_whole(spark, sf_dir), uri, "hdf5")
+    return _read_back(open_captures(spark, uri))
+
+
+@_query(f"with {_CAP} select ts_ms // 86400000 as day, count(*) as n from cap where {_BOX} group by 1")
+def array_files_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of a box in array files, counted by day."""
+    uri = _folder(spark)
+    save_captures(_whole(spark, sf_dir), uri, "hdf5")
+    return open_captures(spark, uri, BOX).groupBy(F.floor(F.col("ts_ms") / 86400000).alias("day")).agg(F.count("*").alias("n"))
+
+
+@_query(_SQL["filter_box"].replace(", instrument from", " from"))
+def naive_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box over array files by a plain loop in each task, without the engine's predicate."""
+    uri = _folder(spark)
+    save_captures(_whole(spark, sf_dir), uri, "hdf5")
+    kept = naive.kept(open_captures(spark, uri).select("payload", "ts_ms", "lat", "lon"), BOX)
+    return kept.select(F.col("payload").cast("string").cast("long").alias("capture_id"), "ts_ms", "lat", "lon")
+
+
+@_query(f"with {_CAP} select {_KEPT}, json_extract_string(props, '$.k') as k from cap where {_BOX}")
+def block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All captures encoded as blocks and decoded within their task; then those of a box."""
+    return _read_back(BOX.apply(_through_blocks(_whole(spark, sf_dir))))
+
+
+def _through_blocks(rows: DataFrame) -> DataFrame:
+    """Captures as blocks give them back, a block for each Arrow batch."""
 
     def run(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in read:
-            told = batch.to_pylist()
-            records = b"".join(block.encode(r | {"dimensions": [len(r["capture_id"])], "payload_type": "UINT8", "payload": r["capture_id"].encode()}) for r in told)
+            records = b"".join(map(block.encode, batch.to_pylist()))
             yield from block.batches(struct.pack("<i", 4 + len(records)) + records, "block")
 
-    from sensorgrid.sources.dispatch import CAPTURE_DDL
-
     return rows.mapInArrow(run, CAPTURE_DDL)

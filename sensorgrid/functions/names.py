@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sensorgrid.sources.block import SUFFIX
+
 
 def has_suffix(name: Column, suffix: str) -> Column:
     return F.endswith(F.lower(name), F.lit(suffix.lower()))
@@ -36,7 +38,7 @@ def scheme(uri: Column) -> Column:
 
 
 def block_file_name(part: Column, block: Column) -> Column:
-    return F.format_string("part-%06d_block%03d.p2irc.bin", part, block)
+    return F.format_string(f"part-%06d_block%03d{SUFFIX}", part, block)
 
 
 def rendered() -> Column:

@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from sensorgrid.schema import BY_NAME
 
 
+def _together(column: pd.Series, dtype: str) -> np.ndarray | None:
+    """All payloads as the rows of one array, if they have one length of whole samples; None otherwise."""
+    sizes = {-1 if raw is None else len(raw) for raw in column}
+    if len(sizes) != 1 or (size := sizes.pop()) < 1 or size % np.dtype(dtype).itemsize:
+        return None
+    return np.frombuffer(b"".join(column), dtype).reshape(len(column), -1)
+
+
 def samples(payload: Column | str, payload_type: str) -> Column:
     """A payload's samples as an array; all payloads have the one type. An incomplete last sample is left out."""
     kind = BY_NAME[payload_type]
@@ -19,6 +27,9 @@ def samples(payload: Column | str, payload_type: str) -> Column:
 
     @F.pandas_udf(f"array<{kind.spark}>")
     def decode(column: pd.Series) -> pd.Series:
+        if (values := _together(column, kind.dtype)) is not None and kind.name != "UINT64":
+            return pd.Series(list(values))
+
         def one(raw: bytes | None):
             if raw is None:
                 return None
@@ -70,6 +81,9 @@ def threshold16(payload: Column | str, threshold: int = 0, signed: bool = True)
 
     @F.pandas_udf("binary")
     def run(column: pd.Series) -> pd.Series:
+        if (values := _together(column, dtype)) is not None:
+            return pd.Series([v.tobytes() for v in np.where(values > threshold, values, 0).astype(dtype)])
+
         def one(raw: bytes | None) -> bytes | None:
             if raw is None:
                 return None

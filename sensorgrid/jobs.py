@@ -46,7 +46,7 @@ def coregister_captures(spark: SparkSession, args: argparse.Namespace) -> int:
     query = from_arguments(args)
     base = args.input.rstrip("/")
     rows = tagged_union(open_captures(spark, f"{base}/{d}", query, not args.no_manifest).drop("payload") for d in args.folders)
-    coregister(rows, args.match).write.mode("overwrite" if args.mode == "overwrite" else "errorifexists").parquet(args.output)
+    coregister(rows, args.match).write.mode(args.mode).parquet(args.output)
     return spark.read.parquet(args.output).count()
 
 
@@ -67,12 +67,12 @@ def parser() -> argparse.ArgumentParser:
             add_arguments(p)
             p.add_argument("--no-manifest", action="store_true", help="read all files, not only those whose zones match")
         if "output" in places:
-            p.add_argument("--mode", default="errorifexists", choices=("errorifexists", "overwrite"))
+            p.add_argument("--mode", default="errorifexists", choices=("errorifexists", "append", "overwrite"))
         p.set_defaults(run=run)
         return p
 
     p = job("ingest", ingest, "input", "output")
-    p.add_argument("--format", default="parquet", choices=("parquet", "block"))
+    p.add_argument("--format", default="parquet", choices=("parquet", "block", "hdf5"))
     p.add_argument("--numeric-unit", default="ms", choices=("ms", "s"))
     job("count", count, "input")
     job("filter", filter_captures, "input", ranges=True)

@@ -10,16 +10,16 @@ from __future__ import annotations
 import glob
 import os
 import struct
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sensorgrid.schema import CAPTURE, NUMERIC_TYPES
+from sensorgrid.sources.folder import FolderWriter
 
 #: Fixed value: the suffix of block files.
 SUFFIX = ".p2irc.bin"
@@ -135,55 +135,27 @@ def batches(raw: bytes, name: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    files: list[str]
-
-
-class BlockWriter(DataSourceArrowWriter):
-    """Blocks of up to `limit` bytes; a record that is longer has a block of its own. Files get their names on commit."""
-
-    def __init__(self, path: str, limit: int, overwrite: bool):
-        self.path, self.limit, self.overwrite = path, limit, overwrite
+class BlockWriter(FolderWriter):
+    """Blocks of up to `limit` bytes; a record that is longer has a block of its own."""
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        from pyspark import TaskContext
+    suffix, stem = SUFFIX, "block"
 
-        os.makedirs(self.path, exist_ok=True)
-        part, attempt, files, held, size = TaskContext.get().partitionId(), uuid.uuid4().hex, [], [], 4
+    def __init__(self, uri: str, limit: int, overwrite: bool):
+        super().__init__(uri, overwrite)
+        self.limit = limit
 
-        def flush() -> None:
-            name = os.path.join(self.path, f"part-{part:06d}_block{len(files):03d}{SUFFIX}.{attempt}")
-            with open(name, "wb") as f:
-                f.write(struct.pack("<i", size))
-                f.writelines(held)
-            files.append(name)
-
-        for batch in iterator:
-            for row in batch.to_pylist():
-                record = encode(row)
-                if held and size + len(record) > self.limit:
-                    flush()
-                    held, size = [], 4
-                held.append(record)
-                size += len(record)
+    def files(self, rows: Iterator[dict]) -> Iterator[tuple[list[dict], bytes]]:
+        held, records, size = [], [], 4
+        for row in rows:
+            record = encode(row)
+            if held and size + len(record) > self.limit:
+                yield held, struct.pack("<i", size) + b"".join(records)
+                held, records, size = [], [], 4
+            held.append({k: row[k] for k in ("ts_ms", "lat", "lon")})
+            records.append(record)
+            size += len(record)
         if held:
-            flush()
-        return Written(files)
-
-    def commit(self, messages: list[Written | None]) -> None:
-        if self.overwrite:
-            for old in glob.glob(os.path.join(glob.escape(self.path), f"*{SUFFIX}")):
-                os.remove(old)
-        for message in messages:
-            for name in message.files if message else ():
-                os.replace(name, name.rpartition(".")[0])
-
-    def abort(self, messages: list[Written | None]) -> None:
-        for message in messages:
-            for name in message.files if message else ():
-                if os.path.exists(name):
-                    os.remove(name)
+            yield held, struct.pack("<i", size) + b"".join(records)
 
 
 class CapturesBlock(DataSource):
@@ -200,4 +172,4 @@ class CapturesBlock(DataSource):
         return BlockReader(local_path(self.options["path"]))
 
     def writer(self, schema, overwrite: bool) -> BlockWriter:
-        return BlockWriter(local_path(self.options["path"]), int(self.options.get("blockbytes", BLOCK_BYTES)), overwrite)
+        return BlockWriter(self.options["path"], int(self.options.get("blockbytes", BLOCK_BYTES)), overwrite)

@@ -23,17 +23,26 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(CapturesHdf5)
 
 
+def names_in(spark: SparkSession, uri: str) -> list[str]:
+    """Names in a folder of any store of Spark's; none if it does not exist."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in store.listStatus(path)] if store.exists(path) else []
+
+
+def _kind(names: list[str]) -> str | None:
+    low = [n.lower() for n in names]
+    if manifest.DATA in low:
+        return "parquet"
+    return next((found for suffix, found in ((HDF5, "hdf5"), (block.SUFFIX, "block")) if any(n.endswith(suffix) for n in low)), None)
+
+
 def format_of(spark: SparkSession, uri: str) -> str:
     """hdf5, block or parquet, from the names in the folder; other folders raise an error."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    names = [s.getPath().getName().lower() for s in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
-    if manifest.DATA in names:
-        return "parquet"
-    for suffix, found in ((HDF5, "hdf5"), (block.SUFFIX, "block")):
-        if any(n.endswith(suffix) for n in names):
-            return found
-    raise ValueError(f"{uri} holds no captures")
+    found = _kind(names_in(spark, uri))
+    if found is None:
+        raise ValueError(f"{uri} holds no captures")
+    return found
 
 
 def open_captures(spark: SparkSession, uri: str, query: RangeQuery | None = None, use_manifest: bool = True, numeric_unit: str = "ms") -> DataFrame:
@@ -46,13 +55,31 @@ def open_captures(spark: SparkSession, uri: str, query: RangeQuery | None = None
         register(spark)
         rows = spark.read.format("captures_hdf5").option("numericUnit", numeric_unit).load(uri)
     else:
-        rows = read_blocks(spark, uri)
+        rows = read_blocks(spark, uri, block_files(spark, uri, query) if query and use_manifest else None)
     return query.apply(rows) if query else rows
 
 
-def read_blocks(spark: SparkSession, uri: str) -> DataFrame:
-    """Block files through Spark's own file access, one whole block at a time."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{block.SUFFIX}").load(uri).select("path", "content")
+def block_files(spark: SparkSession, uri: str, query: RangeQuery) -> list[str] | None:
+    """The block files that can hold rows of a query, by the manifest that their writer left: all but those whose zones do not meet
+    it, so that a file without an entry is read. None where the predicate alone is to prune."""
+    names = names_in(spark, uri)
+    if manifest.ZONES not in names:
+        return None
+    apart = manifest.manifest(spark, uri).where(~query.zone_predicate()).select("file")  # at most as many rows as there are names
+    skipped = {r.file for r in apart.collect()}
+    kept = [f"{uri}/{n}" for n in names if n.lower().endswith(block.SUFFIX) and n not in skipped]
+    return kept if skipped and len(kept) <= manifest.MAX_FILES else None
+
+
+def read_blocks(spark: SparkSession, uri: str, files: list[str] | None = None) -> DataFrame:
+    """Block files (all of a folder, or those named) through Spark's own file access, one whole block at a time."""
+    if files is not None and not files:
+        return spark.createDataFrame([], CAPTURE)
+    return decoded(spark.read.format("binaryFile").option("pathGlobFilter", f"*{block.SUFFIX}").load(uri if files is None else files).select("path", "content"))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """The captures of block files (path, content)."""
 
     def run(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in read:
@@ -63,14 +90,22 @@ def read_blocks(spark: SparkSession, uri: str) -> DataFrame:
 
 
 def save_captures(captures: DataFrame, uri: str, kind: str = "parquet", mode: str = "errorifexists") -> None:
-    """Clustered Parquet with its manifest, or block files in a local or mounted folder."""
+    """Clustered Parquet, block files or array files, each with its manifest. mode is errorifexists, append or overwrite."""
+    uri = uri.rstrip("/")
+    if mode not in ("errorifexists", "append", "overwrite"):
+        raise ValueError("mode is errorifexists, append or overwrite")
+    if kind not in ("parquet", "block", "hdf5"):
+        raise ValueError("captures are saved as parquet, block or hdf5")
+    spark = captures.sparkSession
+    there = _kind(names_in(spark, uri))
+    if there is not None and (mode == "errorifexists" or there != kind):
+        raise FileExistsError(f"{uri} holds captures ({there})")
     if kind == "parquet":
-        manifest.ingest(captures, uri.rstrip("/"), mode=mode)
+        manifest.ingest(captures, uri, mode=mode)
         return
-    if kind != "block":
-        raise ValueError("captures are saved as parquet or block")
-    register(captures.sparkSession)
-    captures.select(*(F.col(f.name).cast(f.dataType) for f in CAPTURE)).write.format("captures_block").mode("append" if mode == "append" else "overwrite").save(uri)
+    register(spark)
+    told = captures.select(*(F.col(f.name).cast(f.dataType) for f in CAPTURE))
+    told.write.format(f"captures_{kind}").mode("overwrite" if mode == "overwrite" else "append").save(uri)
 
 
 def blocks(spark: SparkSession, uri: str) -> DataFrame:

@@ -8,7 +8,6 @@ data with deflate and byte shuffle, and scalar attributes. Anything else raises
 
 from __future__ import annotations
 
-import glob
 import math
 import mmap
 import os
@@ -24,11 +23,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sensorgrid.schema import BY_NAME, CAPTURE, NumericType, numeric_type
 from sensorgrid.sources.block import BATCH, local_path
+from sensorgrid.sources.folder import FolderWriter
 
 SUFFIX = ".hdf5"
 #: Bytes of file for one split.
 SPLIT_BYTES = 128 << 20
 NOWHERE = (1 << 64) - 1
+#: Captures that one leaf of a group's tree can name.
+MAX_DATASETS = 65534
 
 #: Fixed values of the container format: message numbers.
 _DATASPACE, _LINK_INFO, _DATATYPE, _LINK, _LAYOUT, _FILTERS, _ATTRIBUTE, _CONTINUED, _SYMBOLS = 1, 2, 3, 6, 8, 11, 12, 16, 17
@@ -274,8 +276,7 @@ def parse_timestamp(text: str, numeric_unit: str = "ms") -> int:
 @dataclass
 class Split(InputPartition):
     path: str
-    start: int
-    end: int
+    index: int
 
 
 def splits(length: int, n: int, split_bytes: int = SPLIT_BYTES) -> list[tuple[int, int]]:
@@ -286,33 +287,59 @@ def splits(length: int, n: int, split_bytes: int = SPLIT_BYTES) -> list[tuple[in
 
 
 class Hdf5Reader(DataSourceReader):
+    """Splits follow from the sizes of the files alone; which datasets a split has is found when it is read."""
+
     def __init__(self, path: str, numeric_unit: str, split_bytes: int):
         self.path, self.numeric_unit, self.split_bytes = path, numeric_unit, split_bytes
 
     def partitions(self) -> list[Split]:
         out = []
-        for name in sorted(os.listdir(self.path)):
-            if name.lower().endswith(SUFFIX):
-                path = os.path.join(self.path, name)
-                with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as raw:
-                    n = len(File(raw).datasets())
-                out += [Split(path, a, b) for a, b in splits(os.path.getsize(path), n, self.split_bytes)]
+        with os.scandir(self.path) as found:
+            for entry in sorted(found, key=lambda e: e.name):
+                if entry.name.lower().endswith(SUFFIX):
+                    parts = max(1, -(-entry.stat().st_size // self.split_bytes))
+                    out += [Split(entry.path, i) for i in range(parts)]
         return out
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         schema, held = to_arrow_schema(CAPTURE), []
         with open(partition.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as raw:
-            for row in captures(raw, os.path.basename(partition.path), partition.start, partition.end, self.numeric_unit):
-                held.append(row)
-                if len(held) == BATCH:
-                    yield pa.RecordBatch.from_pylist(held, schema)
-                    held = []
+            mine = splits(len(raw), len(File(raw).datasets()), self.split_bytes)[partition.index : partition.index + 1]
+            for start, end in mine:
+                for row in captures(raw, os.path.basename(partition.path), start, end, self.numeric_unit):
+                    held.append(row)
+                    if len(held) == BATCH:
+                        yield pa.RecordBatch.from_pylist(held, schema)
+                        held = []
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
 
+class Hdf5Writer(FolderWriter):
+    """Array files of up to `limit` bytes of payload and MAX_DATASETS captures. Metadata has no place in this format."""
+
+    suffix, stem = SUFFIX, "file"
+
+    def __init__(self, uri: str, limit: int, overwrite: bool):
+        super().__init__(uri, overwrite)
+        self.limit = limit
+
+    def files(self, rows: Iterator[dict]) -> Iterator[tuple[list[dict], bytes]]:
+        held, size = [], 0
+        for row in rows:
+            row = row | {"payload": row["payload"] or b"", "dimensions": row["dimensions"] or []}
+            if held and (size + len(row["payload"]) > self.limit or len(held) == MAX_DATASETS):
+                yield held, file_bytes(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row["payload"])
+        if held:
+            yield held, file_bytes(held)
+
+
 class CapturesHdf5(DataSource):
-    """spark.read.format("captures_hdf5").load(folder); options numericUnit (ms or s) and splitBytes."""
+    """spark.read.format("captures_hdf5").load(folder); options numericUnit (ms or s) and splitBytes. Write with .save(folder),
+    option fileBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -324,6 +351,9 @@ class CapturesHdf5(DataSource):
     def reader(self, schema) -> Hdf5Reader:
         return Hdf5Reader(local_path(self.options["path"]), self.options.get("numericunit", "ms"), int(self.options.get("splitbytes", SPLIT_BYTES)))
 
+    def writer(self, schema, overwrite: bool) -> Hdf5Writer:
+        return Hdf5Writer(self.options["path"], int(self.options.get("filebytes", SPLIT_BYTES)), overwrite)
+
 
 def file_bytes(rows: Iterable[dict]) -> bytes:
     """A file of captures: a superblock of version 0, symbol-table groups and contiguous datasets."""
@@ -370,8 +400,8 @@ def file_bytes(rows: Iterable[dict]) -> bytes:
 
     rows = list(rows)
     leaf_k = max(4, -(-len(rows) // 2))
-    if leaf_k > 0x7FFF:
-        raise ValueError("a file holds up to 65534 captures")
+    if len(rows) > MAX_DATASETS:
+        raise ValueError(f"a file holds up to {MAX_DATASETS} captures")
     places = {}
     for i, row in enumerate(rows):
         kind, shape = BY_NAME[row["payload_type"]], row["dimensions"]

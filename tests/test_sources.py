@@ -10,12 +10,16 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sensorgrid.jobs import main
+from sensorgrid.operators import naive
 from sensorgrid.query import RangeQuery
 from sensorgrid.schema import BY_NAME, NUMERIC_TYPES, numeric_type
 from sensorgrid.sources import block, hdf5
-from sensorgrid.sources.dispatch import format_of, open_captures, read_blocks, register, save_captures
+from sensorgrid.sources.dispatch import block_files, format_of, open_captures, read_blocks, register, save_captures
+from sensorgrid.sources.folder import Written
+from sensorgrid.streaming import arriving
 
 
 def made(n, seed=1):
@@ -98,7 +102,7 @@ def test_blocks_are_cut_and_overwritten(spark, folders):
     target = f"{folders}/cut"
     rows.coalesce(1).write.format("captures_block").option("blockBytes", "300").mode("append").save(target)
     names = sorted(os.listdir(target))
-    assert len(names) > 5 and names[0] == "part-000000_block000.p2irc.bin"
+    assert len(names) > 5 and names[0].startswith("part-000000_block000-") and names[0].endswith(block.SUFFIX)
     (folders / "cut" / "part-000009_block000.p2irc.bin").write_bytes(struct.pack("<i", 4))
     by_source = spark.read.format("captures_block").load(target)
     assert sorted(only(r.asDict() for r in by_source.collect())) == sorted(only(r.asDict() for r in read_blocks(spark, target).collect()))
@@ -106,6 +110,75 @@ def test_blocks_are_cut_and_overwritten(spark, folders):
     assert read_blocks(spark, target).count() == 3
 
 
+@pytest.mark.parametrize("kind", ["block", "hdf5", "parquet"])
+def test_no_mode_loses_rows(spark, folders, kind):
+    rows, target = open_captures(spark, f"{folders}/in/a"), f"{folders}/out"
+    save_captures(rows, target, kind)
+    with pytest.raises(FileExistsError):
+        save_captures(rows.limit(3), target, kind)
+    assert open_captures(spark, target).count() == 30
+    for n in (35, 40):
+        save_captures(rows.limit(5), target, kind, "append")
+        assert open_captures(spark, target).count() == n
+    save_captures(rows.limit(7), target, kind, "overwrite")
+    assert open_captures(spark, target).count() == 7
+    with pytest.raises(FileExistsError):
+        save_captures(rows, target, "parquet" if kind == "block" else "block", "overwrite")
+    with pytest.raises(ValueError):
+        save_captures(rows, target, kind, "ignore")
+
+
+def test_failed_writes_leave_all_as_it_was(spark, folders):
+    rows, target = open_captures(spark, f"{folders}/in/a"), f"{folders}/out"
+    save_captures(rows, target, "block")
+    before = sorted(os.listdir(target))
+    bad = rows.withColumn("payload_type", F.when(F.col("ts_ms") % 2 == 0, F.col("payload_type")).otherwise("NONE"))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception):
+            save_captures(bad, target, "block", mode)
+        assert sorted(os.listdir(target)) == before
+    writer = block.BlockWriter(target, 100, True)  # a commit that fails when files are renamed leaves the old ones
+    with pytest.raises(FileNotFoundError):
+        writer.commit([Written([{"staged": "_staged-none/x", "file": "y" + block.SUFFIX}])])
+    assert open_captures(spark, target).count() == 30
+
+
+def test_array_files_keep_what_they_hold(spark, folders):
+    rows = open_captures(spark, f"{folders}/in/a")
+    save_captures(rows, f"file://{folders}/h", "hdf5")
+    assert sorted(only(r.asDict() for r in open_captures(spark, f"{folders}/h").collect())) == sorted(only(r.asDict() for r in rows.collect()))
+
+
+def test_block_files_are_pruned(spark, folders):
+    rows, target = open_captures(spark, f"{folders}/in/a"), f"{folders}/z"
+    save_captures(rows.repartitionByRange(6, "ts_ms"), target, "block")
+    query = RangeQuery(time=(1527856200255, 1527856200260))
+    files = block_files(spark, target, query)
+    assert 0 < len(files) < 6
+    (folders / "z" / "unlisted.p2irc.bin").write_bytes((folders / "z" / files[0].rpartition("/")[2]).read_bytes())
+    told = sorted(r.ts_ms for r in open_captures(spark, target, query).collect())
+    assert told == sorted(r.ts_ms for r in open_captures(spark, target, query, use_manifest=False).collect()) and len(told) > 6
+    assert open_captures(spark, target, RangeQuery(time=(1, 2))).count() == 0
+
+
+def test_arriving_files_are_read_once(spark, folders):
+    rows, target = open_captures(spark, f"{folders}/in/a"), f"{folders}/s"
+    save_captures(rows, target, "block")
+
+    def drain():
+        arriving(spark, target, RangeQuery(latitude=(60.0, 100.0))).select("ts_ms").writeStream.format("parquet").option("checkpointLocation", f"{folders}/cp").trigger(availableNow=True).start(f"{folders}/got").awaitTermination(60)
+        return spark.read.parquet(f"{folders}/got").count()
+
+    assert drain() == 22
+    save_captures(rows.where("lat = 70"), target, "block", "append")
+    assert drain() == 23
+
+
+def test_plain_loop_takes_the_same_rows(spark, folders):
+    rows, query = open_captures(spark, f"{folders}/in/a"), RangeQuery(time=(1527856200255, 1527856200270), latitude=(60.0, 100.0))
+    assert {r.ts_ms for r in naive.kept(rows, query).collect()} == {r.ts_ms for r in query.apply(rows).collect()} != set()
+
+
 def test_formats_are_told_apart(spark, folders):
     assert format_of(spark, f"{folders}/in/a") == "hdf5"
     os.makedirs(folders / "none")
