@@ -315,8 +315,8 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(spark, sf_dir).select("capture_id", distance(F.col("ts_ms"), F.col("lat"), F.col("lon"), *here).alias("d"))
 
 
-@_query("""with p as (select p_partkey as id, cast(p_retailprice as bigint) as length, p_size as n from part),
-q as (select *, greatest(1, least(n, -(-length // 128))) as parts from p), r as (select *, unnest(range(parts)) as i from q)
+@_query("""with p as (select p_partkey as id, cast(floor(p_retailprice) as bigint) as length, p_size as n from part),
+q as (select *, greatest(1, least(n, (length + 127) // 128)) as parts from p), r as (select *, unnest(range(parts)) as i from q)
 select id, i as part, i * (n // parts) as start_at, case when i = parts - 1 then n else (i + 1) * (n // parts) end as end_at from r""")
 def split_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The splits that the array-file reader makes of a file of so many bytes and datasets."""
