@@ -42,9 +42,9 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sensorgrid.llm.pii import digest, replace
+    from sensorgrid.llm.pii import TEST_KEY, configured_key, digest, replace
 
-    return digest(replace(_table(spark, sf_dir, "documents")))
+    return digest(replace(_table(spark, sf_dir, "documents"), configured_key(spark, TEST_KEY)))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
