@@ -6,7 +6,9 @@ document and an item share leave at least one common fingerprint (9 + 5 - 1 = 13
 hit is extended word by word to both sides; runs of 13 or more words are marked. An item of fewer than 13 words is one
 window and is matched by the hash of all its words.
 
-The item side is broadcast only if its word count is within MAX_BROADCAST_WORDS; a larger one goes through shuffled joins.
+The item side is broadcast only if its word count is within MAX_BROADCAST_WORDS, and is indexed once in each worker. A larger one
+goes through shuffled joins with the same result: fingerprints meet, and each distinct text that shares some is sent once to
+its verification, followed there, a row at a time, by the items that it shares them with.
 
 Edge cases: null and wordless texts have no words and are never hit or hitting; items with a null id take no part;
 repeated rows of an item count once; repeated documents each get their row; empty tables give an empty or unhit result;
@@ -16,6 +18,7 @@ other columns of the inputs are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorgrid.llm.words import ALNUM, Words, chunks, expand, grams, lookup
+from sensorgrid.llm.shared import stored
+from sensorgrid.llm.words import ALNUM, Words, chunks, expand, grams
 
 WINDOW = 13
 GRAM = 5
@@ -60,7 +64,7 @@ class Items:
 
     def __init__(self, ids: list[str], texts: list[str], window: int = WINDOW, gram: int = GRAM):
         parts, first, self.ids = [], [0], ids
-        for _, _, data, offsets in chunks(pa.array(texts, pa.string())):
+        for _, _, data, offsets in chunks(pa.array(texts, pa.large_string())):
             words = Words(data, offsets, ALNUM)
             parts.append(words.hashes())
             first.extend((words.first[1:] + first[-1]).tolist())
@@ -146,14 +150,18 @@ def scan(items: Items, column: pa.Array) -> Iterator[tuple[int, int, list[set[st
 
 
 def _result(batch: pa.RecordBatch, rows: list[tuple[int, int, set[str]]], keep: bool) -> pa.RecordBatch:
+    return _table(batch, [n for n, _, _ in rows], [h for _, h, _ in rows], [len(x) for _, _, x in rows], [_digest(x) for _, _, x in rows], keep)
+
+
+def _table(batch: pa.RecordBatch, n_words: list[int], n_hit: list[int], n_items: list[int], digests: list[str], keep: bool) -> pa.RecordBatch:
     return pa.record_batch(
         {
             "doc_id": batch.column("doc_id"),
-            "n_words": pa.array([n for n, _, _ in rows], pa.int64()),
-            "n_hit": pa.array([h for _, h, _ in rows], pa.int64()),
-            "n_items": pa.array([len(x) for _, _, x in rows], pa.int64()),
-            "items_sha256": pa.array([_digest(x) for _, _, x in rows], pa.string()),
-            "contaminated": pa.array([h > 0 and 20 * h >= n for n, h, _ in rows], pa.bool_()),
+            "n_words": pa.array(n_words, pa.int64()),
+            "n_hit": pa.array(n_hit, pa.int64()),
+            "n_items": pa.array(n_items, pa.int64()),
+            "items_sha256": pa.array(digests, pa.string()),
+            "contaminated": pa.array([h > 0 and 20 * h >= n for n, h in zip(n_words, n_hit, strict=True)], pa.bool_()),
         }
         | ({"text": batch.column("text"), "kept": batch.column("kept")} if keep else {})
     )
@@ -175,24 +183,38 @@ def _schema(docs: DataFrame) -> str:
     return SCHEMA + (f", text string, kept {docs.schema['kept'].dataType.simpleString()}" if "kept" in docs.columns else "")
 
 
+#: The index that this worker holds, by the name of its broadcast.
+_HELD: dict[str, Items] = {}
+
+
 def _by_broadcast(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
     rows = items.distinct().collect()  # within max_broadcast_words
-    keep = "kept" in docs.columns
+    keep, name = "kept" in docs.columns, uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(([r.item for r in rows], [r.item_text for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Items(*sent.value, window, gram)
+        if name not in _HELD:
+            _HELD.clear()
+            _HELD[name] = Items(*sent.value, window, gram)
         for batch in batches:
-            yield _result(batch, list(scan(known, batch.column("text"))), keep)
+            yield _result(batch, list(scan(_HELD[name], batch.column("text"))), keep)
 
     return docs.mapInArrow(run, _schema(docs))
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
-    """For benchmarks of any size: fingerprints meet in a join; only documents that share one go on to verification."""
-    keyed = docs.withColumn("key", F.xxhash64(F.lit(1), "text"))
-    words = F.size(F.regexp_extract_all(F.lower("item_text"), F.lit("[a-z0-9\\x{80}-\\x{10FFFF}]+"), F.lit(0)))
-    short = sorted(r.w for r in items.select(words.alias("w")).where(F.col("w").between(1, window - 1)).distinct().collect())  # fewer than `window` rows
+    """For benchmarks of any size. A text is known by two hashes, so that copies of a text are verified once."""
+    key = ["k1", "k2"]
+    keyed = docs.withColumns({"k1": F.xxhash64(F.lit(1), "text"), "k2": F.xxhash64(F.lit(2), "text")})
+    items = items.distinct()
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column("text")):
+                n = np.unique(np.diff(Words(data, offsets, ALNUM).first))
+                yield pa.record_batch({"n": pa.array(n[(n > 0) & (n < window)], pa.int64())})
+
+    short = sorted(r.n for r in items.select(F.col("item_text").alias("text")).mapInArrow(lengths, "n long").distinct().collect())  # fewer than `window` rows
 
     def prints(name: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,41 +236,49 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> Da
 
         return run
 
-    of_docs = keyed.select("doc_id", "key", "text").mapInArrow(prints("doc"), "doc_id long, key long, print long, kind int")
-    of_items = items.distinct().select("item", F.col("item_text").alias("text")).mapInArrow(prints("item"), "item string, print long, kind int")
-    pairs = of_docs.join(of_items, ["print", "kind"]).select("doc_id", "key", "item").distinct()
-    with_items = pairs.join(items.distinct(), "item")
-    texts = keyed.select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"])
-    checked = texts.join(with_items, texts.doc_id.eqNullSafe(with_items.doc_id) & (texts.key == with_items.key)).select(texts.doc_id, texts.key, "text", "item", "item_text")
+    of_docs = keyed.select(*key, "text").mapInArrow(prints("doc"), "k1 long, k2 long, print long, kind int").distinct()
+    of_items = items.select("item", F.col("item_text").alias("text")).mapInArrow(prints("item"), "item string, print long, kind int")
+    pairs = stored(of_docs.join(of_items, ["print", "kind"]).select(*key, "item").distinct(), "shared")
+    texts = keyed.select(*key, "text").join(pairs.select(*key).distinct(), key, "left_semi").dropDuplicates(key)
+    rows = texts.select(*key, F.lit("").alias("item"), F.lit(0).alias("order"), "text").union(pairs.join(items, "item").select(*key, "item", F.lit(1).alias("order"), "item_text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by text: the text, then its items. Nothing of a text is held but its words, the hits and the items' names."""
+        now, words, hit, ids = None, None, None, set()
+
+        def told() -> pa.RecordBatch:
+            return pa.record_batch({"k1": [now[0]], "k2": [now[1]], "n_hit": [int(hit.sum())], "n_items": [len(ids)], "items_sha256": [_digest(ids)]}, _HITS)
+
         for batch in batches:
-            starts, ends, item = [], [], batch.column("item").to_pylist()
-            for text, one, item_text in zip(batch.column("text"), item, batch.column("item_text").to_pylist(), strict=True):
-                _, _, data, offsets = next(chunks(pa.array([text.as_py()], pa.string())))
-                found = Words(data, offsets, ALNUM)
-                s, e, _ = Items([one], [item_text], window, gram).hits(found.hashes(), found.first)
-                inside = np.flatnonzero(np.diff(np.concatenate([[False], _covered(s, e, len(found)), [False]]).astype(np.int8)))
-                starts.append(inside[::2].tolist())
-                ends.append(inside[1::2].tolist())
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "item": batch.column("item"), "starts": pa.array(starts, pa.list_(pa.int64())), "ends": pa.array(ends, pa.list_(pa.int64()))})
-
-    ranges = checked.mapInArrow(verify, "doc_id long, key long, item string, starts array<long>, ends array<long>").where(F.size("starts") > 0)
-    # What meets in a group is bounded by the one document's own words.
-    per_doc = ranges.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("item")).alias("items"), F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("ranges"))
-    per_doc = per_doc.withColumnsRenamed({"doc_id": "hit_id", "key": "hit_key"})
-    joined = keyed.join(per_doc, keyed.doc_id.eqNullSafe(per_doc.hit_id) & (keyed.key == per_doc.hit_key), "left").select(*docs.columns, "items", "ranges")
+            for k1, k2, item, order, text in zip(*(batch.column(c) for c in ("k1", "k2", "item", "order", "text")), strict=True):
+                _, _, data, offsets = next(chunks(pa.array([text.as_py()], pa.large_string())))
+                if not order.as_py():
+                    if ids:
+                        yield told()
+                    found = Words(data, offsets, ALNUM)
+                    now, words, ids = (k1.as_py(), k2.as_py()), (found.hashes(), found.first), set()
+                    hit = np.zeros(len(found), bool)
+                    continue
+                starts, ends, _ = Items([item.as_py()], [text.as_py()], window, gram).hits(*words)
+                if len(starts):
+                    hit |= _covered(starts, ends, len(hit))
+                    ids.add(item.as_py())
+        if ids:
+            yield told()
+
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hits = rows.repartition(tasks, *key).sortWithinPartitions(*key, "order").mapInArrow(verify, "k1 long, k2 long, n_hit long, n_items long, items_sha256 string")
+    joined = keyed.join(stored(hits, "hits"), key, "left").drop(*key)
     keep = "kept" in docs.columns
+    none = _digest(set())
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found_items, found_ranges = [], batch.column("items").to_pylist(), batch.column("ranges").to_pylist()
-            for row, end, data, offsets in chunks(batch.column("text")):
-                n_words = np.diff(Words(data, offsets, ALNUM).first)
-                for d in range(row, end):
-                    spans = found_ranges[d] or []
-                    hit = _covered(np.array([x["starts"] for x in spans], np.int64), np.array([x["ends"] for x in spans], np.int64), int(n_words[d - row])) if spans else np.zeros(0)
-                    rows.append((int(n_words[d - row]), int(hit.sum()), set(found_items[d] or ())))
-            yield _result(batch, rows, keep)
+            n_words = [int(n) for _, _, data, offsets in chunks(batch.column("text")) for n in np.diff(Words(data, offsets, ALNUM).first)]
+            n_hit, n_items, ids = (batch.column(c).to_pylist() for c in ("n_hit", "n_items", "items_sha256"))
+            yield _table(batch, n_words, [h or 0 for h in n_hit], [n or 0 for n in n_items], [i or none for i in ids], keep)
 
     return joined.mapInArrow(finish, _schema(docs))
+
+
+_HITS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())])
