@@ -36,16 +36,21 @@ def write_array(uri: str, array: np.ndarray) -> None:
     system.move(part, path)
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=2048)
 def mapped(uri: str) -> np.ndarray:
-    """The array of a file, memory-mapped. A file of a remote store is first copied to this worker's temporary folder."""
+    """The array of a file, memory-mapped; so many maps stay open. A file of a remote store is first copied to this worker's
+    temporary folder, where its name goes at once and its bytes go with the map."""
     path = local_path(uri)
-    if path is None:
+    remote = path is None
+    if remote:
         from pyarrow import fs
 
-        system, remote = fs.FileSystem.from_uri(uri)
+        system, place = fs.FileSystem.from_uri(uri)
         handle, path = tempfile.mkstemp(suffix=".npy")
-        with os.fdopen(handle, "wb") as out, system.open_input_stream(remote) as source:
+        with os.fdopen(handle, "wb") as out, system.open_input_stream(place) as source:
             while block := source.read(1 << 22):
                 out.write(block)
-    return np.load(path, mmap_mode="r")
+    array = np.load(path, mmap_mode="r")
+    if remote:
+        os.remove(path)
+    return array

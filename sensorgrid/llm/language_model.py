@@ -1,13 +1,17 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark and scored from memory-mapped arrays.
 
-Counting. Map tasks hash words (48 bits a word), count n-grams per block of text and send one compressed row per block and
-shard; shards are ranges of the n-gram's hash, so their sizes are even whatever the words are. A shard adds up counts, writes
-its sorted hashes and counts as array files in the shared folder, and passes on to the next lower order (a) what the
-context needs: its total and its numbers of followers seen once, twice, three times or more, and (b) one continuation per
-distinct n-gram. All orders are one job, so nothing is written between them but the shuffles. Nothing but a few totals per
-shard comes to the driver.
+Words. A first pass counts words by a 64-bit hash. Shards are ranges of the hash; each writes its sorted hashes and counts as array
+files in the shared folder. Words are then numbered by falling class of their count, so that frequent words have small
+numbers; a word's number follows from its shard's files and one table of offsets.
 
-Scoring. Workers map the files (pages are shared and evictable) and look up sorted, distinct queries.
+N-grams. A second pass counts n-grams of word numbers per block of text and sends one compressed row per block and shard; shards are
+ranges of the n-gram's hash, so their sizes are even whatever the words are. A shard adds up counts, writes its sorted
+hashes and counts, and passes on to the next lower order (a) what each context needs: its total and its numbers of followers
+seen once, twice, three times or more, and (b) one continuation per distinct n-gram. All orders are one job, so nothing is
+written between them but the shuffles. Nothing but a few totals per shard comes to the driver. Sums that would not fit 32 bits
+are kept in 64.
+
+Scoring. Workers map the files (pages are shared and evictable) and look up sorted, distinct queries, once for each order.
 
 Edge cases: a null text is empty and has the one end token; a null doc_id hashes as an empty string (a training row) and
 is kept; repeated rows count as often as they occur and each get a row; without training rows every word is unknown and
@@ -18,7 +22,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +38,17 @@ ORDER = 3
 SHARD_BYTES = 16 << 20
 #: Tokens that a counting task adds up before it sends them on; it bounds the task's memory.
 BLOCK_TOKENS = 2 << 20
+#: Classes of word counts, by every second power of two.
+CLASSES = 16
 
-_START, _END = (mix(np.array([x], np.uint64))[0] for x in (101, 103))
-_SHIFT = np.uint64(16)
-#: Distinct ids, rows, ids and counts of a row.
-_HEAD = struct.Struct("<QQQQ")
+_END = mix(np.array([103], np.uint64))[0]
+#: Numbers of what stands before a text, and of words that were not learnt; learnt ones follow.
+_START, _NEW, _FIRST = 0, 1, 2
+_HEAD = struct.Struct("<QBB")
 #: The count from which a row is written whole.
 _LARGE = 255
-BLOCKS = "level int, kind string, shard int, data binary"
+BLOCKS = "level int, kind string, shard int, part string, data binary"
+_ROW = pa.schema([("level", pa.int32()), ("kind", pa.string()), ("shard", pa.int32()), ("part", pa.string()), ("data", pa.binary())])
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -51,64 +58,68 @@ def held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of start marks (`lead` of them), words and end mark of each text, and where each text begins."""
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and the end mark of each text, and where each text begins."""
     words = Words(data, offsets, SPACED)
-    extra = lead + 1
-    n = np.diff(words.first)
-    first = np.concatenate([[0], np.cumsum(n + extra)])
-    out = np.full(first[-1], _START, dtype=np.uint64)
-    out[first[1:] - 1] = _END
-    owner = words.owner()
-    out[np.arange(len(words)) + owner * extra + lead] = words.hashes()
+    first = np.concatenate([[0], np.cumsum(np.diff(words.first) + 1)])
+    out = np.full(first[-1], _END, dtype=np.uint64)
+    out[np.arange(len(words)) + words.owner()] = words.hashes()
     return out, first
 
 
+def _padded(ids: np.ndarray, first: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers with `lead` start marks before each text, and the places of the tokens."""
+    place = np.arange(len(ids)) + np.repeat(np.arange(1, len(first)), np.diff(first)) * lead
+    out = np.full(len(ids) + lead * (len(first) - 1), _START, ids.dtype)
+    out[place] = ids
+    return out, place
+
+
 def _joined(ids: np.ndarray) -> np.ndarray:
-    """Hash of the words in each row; of one word, its id in the high bits."""
-    total = ids[:, 0].copy()
-    if ids.shape[1] == 1:
-        return total << _SHIFT
+    """Hash of the numbers in each row."""
+    total = mix(ids[:, 0].astype(np.uint64))
     for j in range(1, ids.shape[1]):
-        total = mix(total + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % (1 << 64))) ^ ids[:, j]
+        total = mix(total + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % (1 << 64))) ^ ids[:, j].astype(np.uint64)
     return mix(total)
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys in order, the place of one of each, and sums of the values."""
+    """Distinct keys in order, the place of one of each, and sums of the values, in 64 bits where 32 may not do."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], order[starts], [np.add.reduceat(v[order], starts) if len(starts) else v[:0] for v in values]
+    kinds = [np.uint32 if v.sum(dtype=np.uint64) < 1 << 32 else np.uint64 for v in values]
+    return keys[starts], order[starts], [np.add.reduceat(v[order], starts, dtype=k) if len(starts) else v[:0] for v, k in zip(values, kinds, strict=True)]
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """The bytes of a flat array by significance: the high ones of small numbers are runs of zeros."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of equal length, each in as many bytes as its largest number takes, by significance of the bytes; compressed."""
+    n, widths, parts = len(columns[0]), [], []
+    for c in columns:
+        widths.append(max(1, -(-int(c.max(initial=0)).bit_length() // 8)))
+        parts.append(np.ascontiguousarray(c.astype("<u8" if widths[-1] > 4 else "<u4")).view(np.uint8).reshape(n, -1).T[: widths[-1]].tobytes())
+    return _HEAD.pack(n, len(widths), 0) + bytes(widths) + _CODEC.compress(b"".join(parts), asbytes=True)
 
 
-def _from_planes(raw: np.ndarray, n: int, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(-1, n).T).view(kind).reshape(n)
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    n, k, _ = _HEAD.unpack_from(data)
+    widths = data[_HEAD.size : _HEAD.size + k]
+    raw = np.frombuffer(pa.decompress(data[_HEAD.size + k :], decompressed_size=n * sum(widths), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for w in widths:
+        wide = np.zeros((n, 8 if w > 4 else 4), np.uint8)
+        wide[:, :w] = raw[at : at + n * w].reshape(w, n).T
+        out.append(wide.view(np.uint64 if w > 4 else np.uint32).reshape(n))
+        at += n * w
+    return out
 
 
-def _encoded(ids: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rows of ids and counts, in another order: the distinct ids, the rows' places among them, the counts; compressed."""
-    words, at = np.unique(ids, return_inverse=True)
-    at = at.reshape(ids.shape).astype(np.uint32)
-    order = np.lexsort(at.T[::-1])
-    at, counts = at[order], counts[order].astype(np.uint32)
-    at[:, 0] = np.diff(at[:, 0], prepend=np.uint32(0))
-    raw = b"".join([_planes(np.diff(words, prepend=np.uint64(0))), *map(_planes, at.T), *map(_planes, counts.T)])
-    return _HEAD.pack(len(words), *ids.shape, counts.shape[1]) + pa.compress(raw, codec="zstd", asbytes=True)
+_CODEC = pa.Codec("zstd", compression_level=3)
 
 
-def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    m, n, k, width = _HEAD.unpack_from(data)
-    raw = np.frombuffer(pa.decompress(data[_HEAD.size :], decompressed_size=8 * m + 4 * n * (k + width), codec="zstd", asbytes=True), np.uint8)
-    words = np.cumsum(_from_planes(raw[: 8 * m], m, np.uint64), dtype=np.uint64)
-    columns = [_from_planes(x, n, np.uint32) for x in raw[8 * m :].reshape(k + width, 4 * n)]
-    columns[0] = np.cumsum(columns[0], dtype=np.uint32)
-    return words[np.stack(columns[:k], axis=1)], np.stack(columns[k:], axis=1)
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Differences of rising numbers; np.cumsum takes them back."""
+    return np.diff(a, prepend=a.dtype.type(0))
 
 
 def _bounds(shards: int) -> np.ndarray:
@@ -116,92 +127,144 @@ def _bounds(shards: int) -> np.ndarray:
     return np.array([(-(-(s << 32) // shards)) << 32 for s in range(1, shards)], np.uint64)
 
 
-def _merged(level: int, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, their ids and the sums of their counts. Level 0 has words by full hash."""
-    keys, place, sums = _summed(_joined(ids) if level else ids[:, 0], *counts.T)
-    return keys, ids[place], np.stack(sums, axis=1)
+def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's part of sorted keys begins, and the end."""
+    return np.concatenate([[0], np.searchsorted(keys, _bounds(shards)), [len(keys)]])
 
 
-def _blocks(level: int, ids: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
-    """A row for each shard that has some of the keys."""
-    keys, ids, counts = _merged(level, ids, counts)
-    cuts = np.concatenate([[0], np.searchsorted(keys, _bounds(shards)), [len(keys)]])
+def _rows(level: int, part: str, keys: np.ndarray, shards: int, packed: Callable[[slice], bytes]) -> pa.RecordBatch:
+    """A row for each shard that has some of the sorted keys."""
+    cuts = _cuts(keys, shards)
     some = np.flatnonzero(np.diff(cuts))
-    return pa.record_batch(
-        {
-            "level": pa.array(np.full(len(some), level, np.int32)),
-            "kind": pa.array(["gram"] * len(some), pa.string()),
-            "shard": pa.array(some.astype(np.int32)),
-            "data": pa.array([_encoded(ids[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]]) for s in some], pa.binary()),
-        }
-    )
+    told = [packed(slice(cuts[s], cuts[s + 1])) for s in some]
+    return pa.record_batch([pa.array([level] * len(some), pa.int32()), pa.array(["gram"] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array([part] * len(some), pa.string()), pa.array(told, pa.binary())], schema=_ROW)
 
 
-def _count(order: int, shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+def _gram_rows(level: int, part: str, ids: np.ndarray, counts: list[np.ndarray], shards: int) -> pa.RecordBatch:
+    keys, place, counts = _summed(_joined(ids), *counts)
+    ids = ids[place]
+
+    def packed(mine: slice) -> bytes:
+        rows = ids[mine]
+        order = np.lexsort(rows.T[::-1])
+        rows = rows[order]
+        return _packed([_steps(rows[:, 0]), *rows.T[1:], *(c[mine][order] for c in counts)])
+
+    return _rows(level, part, keys, shards, packed)
+
+
+def _gathered(table: pa.Table, part: str, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows of numbers, and columns of counts, of all a shard's blocks of a kind."""
+    blocks = [_unpacked(d.as_py()) for p, d in zip(table.column("part"), table.column("data"), strict=True) if p.as_py() == part]
+    if not blocks:
+        return np.zeros((0, width), np.uint32), [np.zeros(0, np.uint32)] * 4
+    for b in blocks:
+        b[0] = np.cumsum(b[0], dtype=b[0].dtype if int(b[0].sum(dtype=np.uint64)) < 1 << 32 else np.uint64)
+    columns = [np.concatenate(c) for c in zip(*blocks, strict=True)]
+    return np.stack(columns[:width], axis=1), columns[width:]
+
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                ids, words = (np.concatenate(x) for x in zip(*held, strict=True))
-                held.clear()
-                ones = np.ones((len(ids), 1), np.uint32)
-                yield _blocks(order, ids, ones, shards)
-                yield _blocks(0, words[:, None], ones, shards)
+def _blocked(flush: Callable[[list], Iterator[pa.RecordBatch]], read: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """Hands BLOCK_TOKENS of what is read from the texts on at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column("text")):
-                words, first = _tokens(data, offsets, order - 1)
-                ends = _predicted(len(words), first, order)
-                ids = words >> _SHIFT
-                held.append((np.stack([ids[ends - j] for j in range(order - 1, -1, -1)], axis=1), words[ends]))
-                if sum(len(x) for _, x in held) >= BLOCK_TOKENS:
-                    yield from flush()
-        yield from flush()
+                held.append(read(data, offsets))
+                if sum(map(len, held)) >= BLOCK_TOKENS:
+                    yield from flush(held)
+                    held.clear()
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def _count_words(shards: int):
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words, counts = np.unique(np.concatenate(held), return_counts=True)
+        yield _rows(0, "words", words, shards, lambda mine: _packed([_steps(words[mine]), counts[mine]]))
+
+    return _blocked(flush, lambda data, offsets: _tokens(data, offsets)[0])
+
+
+def _class(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.frexp(counts.astype(np.float64))[1] // 2, CLASSES - 1)
+
+
+def _reduce_words(path: str):
+    """Adds up and writes a shard's words; gives a row with their number, their sum and their number in each class."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        blocks = [_unpacked(d.as_py()) for d in table.column("data")]
+        words, _, (counts,) = _summed(np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blocks]), np.concatenate([b[1] for b in blocks]))
+        kind = _class(counts)
+        order = np.argsort(kind, kind="stable")
+        sizes = np.bincount(kind, minlength=CLASSES)
+        place = np.empty(len(words), np.uint32)
+        place[order] = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        _write_counts(f"{path}/gram0-{shard}", words, counts[:, None])
+        write_array(f"{path}/gram0-{shard}-places.npy", place)
+        return _totals(0, shard, np.array([len(words), counts.sum(dtype=np.int64), *sizes], np.int64))
 
     return run
 
 
-def _predicted(n: int, first: np.ndarray, order: int) -> np.ndarray:
-    """Places of the tokens that are not start marks."""
-    whole = np.ones(n, dtype=bool)
-    for j in range(order - 1):
-        whole[first[:-1] + j] = False
-    return np.flatnonzero(whole)
+def _totals(level: int, shard: int, told: np.ndarray) -> pa.Table:
+    return pa.Table.from_batches([pa.record_batch([pa.array([level], pa.int32()), pa.array(["totals"]), pa.array([shard], pa.int32()), pa.array([""]), pa.array([told.tobytes()], pa.binary())], schema=_ROW)])
+
+
+def _count_grams(vocabulary: Vocabulary, order: int, shards: int):
+    def read(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        words, first = _tokens(data, offsets)
+        ids, place = _padded(vocabulary.find(words)[1], first, order - 1)
+        return np.stack([ids[place - j] for j in range(order - 1, -1, -1)], axis=1)
 
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate(held)
+        yield _gram_rows(order, "seen", ids, [np.ones(len(ids), np.uint32)], shards)
 
-def _reduce(path: str, shards: int):
+    return _blocked(flush, read)
+
+
+def _reduce(path: str, shards: int, order: int):
     """Adds up a shard's n-grams; writes them; gives what the next lower order needs, and a row of totals.
 
-    A row of a lower order has its continuations and, as a context, its total and numbers of followers.
+    Rows of the order itself are n-grams and counts; those of a lower order are n-grams and continuations ("seen"), or contexts with
+    their totals and numbers of followers ("context").
     """
 
     def run(table: pa.Table) -> pa.Table:
-        level, kind, shard = (table.column(x)[0].as_py() for x in ("level", "kind", "shard"))
-        if kind == "totals":
+        if table.column("kind")[0].as_py() == "totals":
             return table
-        ids, counts = (np.concatenate(x) for x in zip(*(_decoded(x.as_py()) for x in table.column("data")), strict=True))
-        keys, ids, counts = _merged(level, ids, counts)
-        _write_counts(f"{path}/gram{level}-{shard}", keys, counts)
-        out = [_totals(level, shard, counts[:, 0])]
-        if level > 1 and counts[:, 0].any():
-            ids, total = ids[counts[:, 0] > 0], counts[counts[:, 0] > 0, 0]
-            n = len(ids)
-            lower = np.zeros((2 * n, 5), np.uint32)
-            lower[:n, 1:] = np.stack([total, total == 1, total == 2, total >= 3], axis=1)
-            lower[n:, 0] = 1
-            out.append(_blocks(level - 1, np.concatenate([ids[:, :-1], ids[:, 1:]]), lower, shards))
-        return pa.Table.from_batches(out)
+        level, shard = (table.column(x)[0].as_py() for x in ("level", "shard"))
+        ids, told = _gathered(table, "seen", level)
+        keys, place, (seen,) = _summed(_joined(ids), told[0])
+        ids = ids[place]
+        if level == order:
+            _write_counts(f"{path}/gram{level}-{shard}", keys, seen[:, None])
+        else:
+            contexts, told = _gathered(table, "context", level)
+            others, _, told = _summed(_joined(contexts), *told)
+            every = np.union1d(keys, others)
+            counts = np.zeros((len(every), 5), np.uint64 if any(c.dtype == np.uint64 for c in (seen, *told)) else np.uint32)
+            counts[np.searchsorted(every, keys), 0] = seen
+            for j, c in enumerate(told):
+                counts[np.searchsorted(every, others), j + 1] = c
+            _write_counts(f"{path}/gram{level}-{shard}", every, counts)
+            del contexts, others, every, counts
+        out = [_totals(level, shard, np.array([*((seen == k).sum() for k in (1, 2, 3, 4)), len(seen), seen.sum(dtype=np.int64)], np.int64))]
+        if level > 1 and len(ids):
+            followers = [seen, *(x.astype(np.uint32) for x in (seen == 1, seen == 2, seen >= 3))]
+            out.append(pa.Table.from_batches([_gram_rows(level - 1, "context", ids[:, :-1], followers, shards)]))
+            out.append(pa.Table.from_batches([_gram_rows(level - 1, "seen", ids[:, 1:], [np.ones(len(ids), np.uint32)], shards)]))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _totals(level: int, shard: int, counts: np.ndarray) -> pa.RecordBatch:
-    """Counts of counts 1 to 4, number of n-grams, and their sum."""
-    told = np.array([*((counts == k).sum() for k in (1, 2, 3, 4)), (counts > 0).sum(), counts.sum(dtype=np.int64)], np.int64)
-    return pa.record_batch({"level": pa.array([level], pa.int32()), "kind": ["totals"], "shard": pa.array([shard], pa.int32()), "data": pa.array([told.tobytes()], pa.binary())})
-
-
 def _write_counts(name: str, keys: np.ndarray, counts: np.ndarray) -> None:
     """Counts take a byte each; rows with one of _LARGE or more are written whole, after their places."""
     large = np.flatnonzero((counts >= _LARGE).any(axis=1))
@@ -210,13 +273,45 @@ def _write_counts(name: str, keys: np.ndarray, counts: np.ndarray) -> None:
     write_array(f"{name}-large.npy", np.concatenate([large[:, None], counts[large].astype(np.int64)], axis=1))
 
 
+def _looked_up(name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of some sorted keys a shard has, where, and their counts."""
+    table = mapped(f"{name}-keys.npy")
+    at = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
+    ok = np.flatnonzero(table[at] == keys) if len(table) else np.zeros(0, np.int64)
+    found = mapped(f"{name}-counts.npy")[at[ok]].astype(np.int64)
+    beyond = np.flatnonzero((found == _LARGE).any(axis=1))
+    if len(beyond):
+        large = mapped(f"{name}-large.npy")
+        found[beyond] = large[np.searchsorted(large[:, 0], at[ok[beyond]]), 1:]
+    return ok, at[ok], found
+
+
+class Vocabulary:
+    """Where the words' arrays are. Small enough to be sent with a task, but for one number in each shard that says if it has any."""
+
+    def __init__(self, path: str, shards: int, present: np.ndarray, size: int):
+        self.path, self.shards, self.present, self.size = path, shards, present, size
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and numbers of words by their hashes."""
+        distinct, back = np.unique(words, return_inverse=True)
+        cuts = _cuts(distinct, self.shards)
+        counts, ids = np.zeros(len(distinct), np.int64), np.full(len(distinct), _NEW, np.uint64 if self.size >= (1 << 32) - _FIRST else np.uint32)
+        offsets = mapped(f"{self.path}/offsets.npy")
+        for s in np.flatnonzero((np.diff(cuts) > 0) & self.present):
+            name = f"{self.path}/gram0-{s}"
+            ok, at, found = _looked_up(name, distinct[cuts[s] : cuts[s + 1]])
+            counts[cuts[s] + ok] = found[:, 0]
+            ids[cuts[s] + ok] = offsets[s, _class(found[:, 0])] + mapped(f"{name}-places.npy")[at]
+        return counts[back], ids[back]
+
+
 class Model:
-    """Where the arrays are, and the few numbers that belong to the whole model. Small enough to be sent with a task."""
+    """The vocabulary, where the n-grams' arrays are, and the few numbers that belong to the whole model."""
 
-    def __init__(self, path: str, order: int, shards: int, present: dict[int, list[int]], totals: dict[int, np.ndarray]):
-        self.path, self.order, self.shards, self.present = path, order, shards, present
+    def __init__(self, vocabulary: Vocabulary, tokens: int, order: int, present: dict[int, np.ndarray], totals: dict[int, np.ndarray]):
+        self.words, self.tokens, self.order, self.present = vocabulary, tokens, order, present
         none = np.zeros(6, np.int64)
-        self.tokens, self.vocabulary = int(totals.get(0, none)[5]), int(totals.get(0, none)[4])
         self.discounts, self.continuations = {}, totals.get(1, none)
         for level in range(1, order + 1):
             n1, n2, n3, n4 = (max(int(x), 1) for x in totals.get(level, none)[:4])
@@ -226,56 +321,41 @@ class Model:
     def _find(self, level: int, keys: np.ndarray) -> np.ndarray:
         """Rows of counts of the keys (0 where there are none)."""
         distinct, back = np.unique(keys, return_inverse=True)
-        cuts = np.concatenate([[0], np.searchsorted(distinct, _bounds(self.shards)), [len(distinct)]])
-        out = np.zeros((len(distinct), 5 if 0 < level < self.order else 1), np.int64)
-        for s in self.present.get(level, ()):
-            part = distinct[cuts[s] : cuts[s + 1]]
-            name = f"{self.path}/gram{level}-{s}"
-            table = mapped(f"{name}-keys.npy")
-            if len(part) and len(table):
-                at = np.minimum(np.searchsorted(table, part), len(table) - 1)
-                ok = np.flatnonzero(table[at] == part)
-                found = mapped(f"{name}-counts.npy")[at[ok]].astype(np.int64)
-                beyond = np.flatnonzero((found == _LARGE).any(axis=1))
-                if len(beyond):
-                    large = mapped(f"{name}-large.npy")
-                    found[beyond] = large[np.searchsorted(large[:, 0], at[ok[beyond]]), 1:]
-                out[cuts[s] + ok] = found
+        cuts = _cuts(distinct, self.words.shards)
+        out = np.zeros((len(distinct), 1 if level == self.order else 5), np.int64)
+        for s in np.flatnonzero((np.diff(cuts) > 0) & self.present[level]):
+            ok, _, found = _looked_up(f"{self.words.path}/gram{level}-{s}", distinct[cuts[s] : cuts[s + 1]])
+            out[cuts[s] + ok] = found
         return out[back]
 
-    def probabilities(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of each token at `ends`, given the ones before it."""
-        ids = words >> _SHIFT
-        d = self.discounts[1]
+    def probabilities(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of each token, given the ones before it. An n-gram's context is the shorter n-gram that ends one token before."""
         n1, n2, _, _, types, total = (int(x) for x in self.continuations)
-        uniform = 1.0 / (self.vocabulary + 1)
-        if total:
-            c = self._find(1, _joined(ids[ends, None]))[:, 0]
-            rest = (d[1] * n1 + d[2] * n2 + d[3] * (types - n1 - n2)) / total
-            p = np.maximum(c - d[np.minimum(c, 3)], 0) / total + rest * uniform
-        else:
-            p = np.full(len(ends), uniform)
-        for level in range(2, self.order + 1):
-            grams = np.stack([ids[ends - j] for j in range(level - 1, -1, -1)], axis=1)
-            stats = self._find(level - 1, _joined(grams[:, :-1]))[:, 1:]
-            c = self._find(level, _joined(grams))[:, 0]
-            d, total = self.discounts[level], np.maximum(stats[:, 0], 1)
-            gamma = (stats[:, 1:] @ d[1:]) / total
-            p = np.where(stats[:, 0] > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / total + gamma * p, p)
+        d, p, before = self.discounts[1], np.full(len(place), 1.0 / (self.words.size + 1)), None
+        for level in range(1, self.order + 1):
+            grams = np.stack([np.roll(ids, j) for j in range(level - 1, -1, -1)], axis=1)
+            rows = self._find(level, _joined(grams))
+            c, d = rows[place, 0], self.discounts[level]
+            discounted = np.maximum(c - d[np.minimum(c, 3)], 0)
+            if level == 1:
+                if total:
+                    p = discounted / total + (d[1] * n1 + d[2] * n2 + d[3] * (types - n1 - n2)) / total * p
+            else:
+                stats = before[place - 1, 1:]
+                total = np.maximum(stats[:, 0], 1)
+                p = np.where(stats[:, 0] > 0, discounted / total + (stats[:, 1:] @ d[1:]) / total * p, p)
+            before = rows
         return p
 
     def score(self, column: pa.Array) -> dict[str, np.ndarray]:
         """For each text: tokens, tokens known, base score and score (log10)."""
         out = []
         for _, _, data, offsets in chunks(column):
-            words, first = _tokens(data, offsets, self.order - 1)
-            ends = _predicted(len(words), first, self.order)
-            starts = np.searchsorted(ends, first[:-1])
-            c = self._find(0, words[ends])[:, 0]
-            base = np.log10((c + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
-            full = np.log10(self.probabilities(words, ends))
-            known = (c > 0).astype(np.int64)
-            out.append([np.diff(np.append(starts, len(ends))), *(np.add.reduceat(x, starts) for x in (known, base, full))])
+            words, first = _tokens(data, offsets)
+            c, ids = self.words.find(words)
+            base = np.log10((c + 0.5) / (self.tokens + 0.5 * (self.words.size + 1)))
+            full = np.log10(self.probabilities(*_padded(ids, first, self.order - 1)))
+            out.append([np.diff(first), *(np.add.reduceat(x, first[:-1]) for x in ((c > 0).astype(np.int64), base, full))])
         names = ("n_tokens", "n_known", "base_score", "score")
         return {k: np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i, k in enumerate(names)}
 
@@ -287,15 +367,36 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     docs = docs.select("text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    found = docs.mapInArrow(_count(order, shards), BLOCKS)  # one pass over the texts feeds the n-grams and the single words
-    for _ in range(order):  # each group is one shard, whose size SHARD_BYTES bounds; totals pass through
-        found = found.groupBy("level", "kind", "shard").applyInArrow(_reduce(path, shards), BLOCKS)
-    totals: dict[int, np.ndarray] = {}
-    present: dict[int, list[int]] = {}
-    for r in found.collect():  # one small row per level and shard
-        present.setdefault(r.level, []).append(r.shard)
-        totals[r.level] = totals.get(r.level, 0) + np.frombuffer(r["data"], np.int64)
-    return Model(path, order, shards, present, totals)
+
+    def by_shard(rows: DataFrame, reduce) -> DataFrame:
+        # As many tasks as shards, whose size SHARD_BYTES bounds.
+        return rows.repartition(shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(reduce, BLOCKS)
+
+    present, totals = {}, {}
+
+    def noted(rows: DataFrame) -> dict[int, np.ndarray]:
+        """Adds up the totals of each level; the last, level 0's, by shard. One small row per level and shard."""
+        by_row = {}
+        for r in rows.collect():
+            told = np.frombuffer(r["data"], np.int64)
+            present.setdefault(r.level, np.zeros(shards, bool))[r.shard] = True
+            totals[r.level] = totals.get(r.level, 0) + told
+            by_row[r.shard] = told
+        return by_row
+
+    sizes = np.zeros((shards, CLASSES), np.int64)
+    for shard, told in noted(by_shard(docs.mapInArrow(_count_words(shards), BLOCKS), _reduce_words(path))).items():
+        sizes[shard] = told[2:]
+    falling = sizes[:, ::-1].T.reshape(-1)  # frequent classes first, and in each the shards in order
+    write_array(f"{path}/offsets.npy", (np.cumsum(falling) - falling + _FIRST).reshape(CLASSES, shards).T[:, ::-1].copy())
+    n_words, tokens = (int(x) for x in totals[0][:2]) if 0 in totals else (0, 0)
+    vocabulary = Vocabulary(path, shards, present.get(0, np.zeros(shards, bool)), n_words)
+
+    found = docs.mapInArrow(_count_grams(vocabulary, order, shards), BLOCKS)
+    for _ in range(order):
+        found = by_shard(found, _reduce(path, shards, order))
+    noted(found)
+    return Model(vocabulary, tokens, order, {k: present.get(k, np.zeros(shards, bool)) for k in range(1, order + 1)}, totals)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
