@@ -3,15 +3,19 @@
 1. Sketch: each text gives the set of hashes of its 5-word shingles, a 128-bit fingerprint of the whole set, and band
    hashes of a MinHash signature. Bands and rows follow from the wished recall at the threshold.
 2. Documents with equal sets form a class at once; only one document of a class goes on.
-3. Band hashes are shuffled; in each bucket every class is tied to the least one, so a bucket of m classes gives m - 1 rows,
-   never its pairs. Connected components of those ties hold every candidate pair.
-4. The full sets of candidate classes are fetched once and dealt to tiles of BLOCK x BLOCK classes of one component. A tile
-   counts all its intersections in a matrix product and passes on, for each class, the number of documents that it links
-   to and the least class that the tile connects it with.
+3. Band hashes are shuffled. A bucket is the classes with one band hash; buckets of the same classes are verified once.
+   What meets in a bucket is a candidate, and nothing else is.
+4. A bucket is one tile, or blocks of bounded numbers of classes and shingles and a tile for each two blocks. The full sets are
+   dealt to the tiles. A tile counts all its intersections in a matrix product, leaves pairs that share an earlier
+   band to that band's tile, so that each pair counts once, and passes on, for each class, the number of documents that it links
+   to and the least class that the tile connects it with. In a bucket of many blocks the classes of a block agree on which of
+   the bucket's commonest hashes of earlier bands they have; two blocks that agree on having one have been compared before and
+   make no tile.
 5. Components of what was verified are the result's classes.
 
 The result has a row per document: its class and the number of documents with a similarity of at least the threshold.
-A huge group of near copies is split over many tiles; its work is quadratic, as its links are, but its rows are not.
+A huge group of near copies is split over many tiles; its work is quadratic, as its links are, but its rows are not. Texts that
+are only chained to one another by different buckets are never compared.
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased. A text of fewer words than a shingle
 is one shingle; a text without words has its whole text as its only shingle, so that only equal texts link.
@@ -39,8 +43,13 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 #: Hash functions of a signature: the more, the more rows a band may have and the fewer false candidates there are.
 MAX_HASHES = 160
-#: Classes on a side of a tile.
+#: Classes on a side of a tile, and shingles, unless one text has more.
 BLOCK = 512
+BLOCK_SHINGLES = 2 << 20
+#: Earlier bands by which a large bucket's classes are told apart.
+EARLIER = 6
+#: Bits of the map of wanted texts, which is sent to all tasks: 16 MiB.
+WANTED_BITS = 1 << 27
 #: Columns of a tile's matrix that are multiplied at once.
 _SLAB = 8192
 
@@ -116,6 +125,7 @@ def _sketch(n: int, bands: int, rows: int, threshold: float):
                         "text_hash": batch.column("text_hash").slice(row, end - row),
                         "f1": pa.array(prints[0]),
                         "f2": pa.array(prints[1]),
+                        "size": pa.array(sizes.astype(np.int64)),
                         "bands": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(flat)),
                     }
                 )
@@ -123,9 +133,13 @@ def _sketch(n: int, bands: int, rows: int, threshold: float):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, wanted: np.ndarray):
+    """The sets of those texts whose hash is marked in the map."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            place = np.asarray(batch.column("text_hash")).astype(np.int64) & (WANTED_BITS - 1)
+            batch = batch.take(pa.array(np.flatnonzero(wanted.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)))
             for row, end, data, offsets in chunks(batch.column("text")):
                 sets, first = shingle_sets(data, offsets, n)
                 raw = [sets[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -135,23 +149,36 @@ def _sets(n: int):
     return run
 
 
-class Tile:
-    """Classes of one or two blocks of a component."""
+def _marked(wanted: DataFrame) -> np.ndarray:
+    """A map of WANTED_BITS bits with those of wanted (text_hash) set: a few thousand rows of 4 KiB at most come to the driver."""
+    place = F.col("text_hash").bitwiseAND(F.lit(WANTED_BITS - 1)) + 1
+    rows = wanted.select(F.bitmap_bucket_number(place).alias("at"), F.bitmap_bit_position(place).alias("bit"))
+    out = np.zeros(WANTED_BITS >> 3, np.uint8)
+    for r in rows.groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        out[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
-    def __init__(self, mirrored: bool):
-        self.mirrored = mirrored
-        self.rows: tuple[dict[int, tuple[int, np.ndarray]], ...] = ({}, {})
 
-    def add(self, side: int, node: int, copies: int, shingles: np.ndarray) -> None:
-        self.rows[side][node] = copies, shingles
+class Tile:
+    """Classes of one or two blocks of the bucket of a band; rows are node, copies, band hashes, shingles."""
+
+    def __init__(self, band: int, mirrored: bool):
+        self.band, self.mirrored = band, mirrored
+        self.rows: tuple[list[tuple], ...] = ([], [])
 
     def result(self, threshold: float) -> list[tuple[int, int, int]]:
         """(node, documents that it links to, least node that it is connected with)."""
         left = self.rows[0]
         right = left if self.mirrored else self.rows[1]
-        linked = _linked([s for _, s in left.values()], [s for _, s in right.values()], self.mirrored, threshold)
-        ids = [np.array(list(x), np.int64) for x in (left, right)]
-        copies = [np.array([c for c, _ in x.values()], np.int64) for x in (left, right)]
+        linked = _linked([r[3] for r in left], [r[3] for r in right], self.mirrored, threshold)
+        x, y = np.nonzero(linked)
+        if not len(x):
+            return []
+        bands = [np.array([r[2][: self.band] for r in side], np.int64).reshape(len(side), -1) for side in (left, right)]
+        before = (bands[0][x] == bands[1][y]).any(axis=1)
+        linked[x[before], y[before]] = False
+        ids = [np.array([r[0] for r in side], np.int64) for side in (left, right)]
+        copies = [np.array([r[1] for r in side], np.int64) for side in (left, right)]
         to_right = linked @ copies[1]
         # The least node over links, spread until nothing changes.
         most = np.iinfo(np.int64).max
@@ -173,6 +200,9 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray], mirrored: bool, thr
     sizes = [np.array([len(s) for s in x], np.int64) for x in (left, right)]
     if not left or not right:
         return np.zeros((len(left), len(right)), bool)
+    if mirrored and len(left) == 2:
+        both = len(np.intersect1d(*left, assume_unique=True))
+        return np.array([[0, 1], [1, 0]], bool) & bool(both >= threshold * (len(left[0]) + len(left[1]) - both) - 1e-9)
     every = left if mirrored else left + right
     value = np.concatenate(every)
     owner = np.repeat(np.arange(len(every)), [len(s) for s in every])
@@ -199,7 +229,7 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray], mirrored: bool, thr
 
 
 def _verify(threshold: float):
-    """Rows come by tile."""
+    """Rows come by tile; one tile is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -208,16 +238,17 @@ def _verify(threshold: float):
 
         now, tile, held = None, None, []
         for batch in batches:
-            names = ("component", "i", "j", "side", "node", "copies", "shingles")
-            for component, i, j, side, node, copies, shingles in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if (component, i, j) != now:
+            names = ("band", "b", "i", "j", "side", "node", "copies", "bands", "shingles")
+            for band, b, i, j, side, node, copies, bands, shingles in zip(*(batch.column(c) for c in names), strict=True):
+                key = band.as_py(), i.as_py(), j.as_py()
+                if key != now:
                     if tile is not None:
                         held += tile.result(threshold)
-                    now, tile = (component, i, j), Tile(i == j)
+                    now, tile = key, Tile(b.as_py(), i == j)
                     if len(held) > 10_000:
                         yield told(held)
                         held = []
-                tile.add(side, node, copies, np.frombuffer(shingles, np.uint64))
+                tile.rows[side.as_py()].append((node.as_py(), copies.as_py(), bands.values.to_numpy(), np.frombuffer(shingles.as_py(), np.uint64)))
         if tile is not None:
             held += tile.result(threshold)
         yield told(held)
@@ -225,34 +256,61 @@ def _verify(threshold: float):
     return run
 
 
-def join_similar(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def _dealt(classes: DataFrame, block: int, block_shingles: int) -> DataFrame:
+    """Rows (node, band, b, i, j, side): the tiles to which each class goes; a tile is two blocks of the bucket of a band hash."""
+    members = classes.select("node", "size", "bands", F.posexplode("bands").alias("b", "band"))
+    alike = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"alike{k}") for k in (1, 2)]
+    buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("b").alias("b"), *alike).where("n > 1")
+    # Of buckets with the same classes the one of the first band stays.
+    buckets = buckets.groupBy("n", "shingles", "alike1", "alike2").agg(F.min(F.struct("b", "band")).alias("kept")).select("n", "shingles", "kept.band")
+    buckets = stored(buckets, "buckets")
+    large = (F.col("n") > block) | (F.col("shingles") > block_shingles)
+    none = F.lit(0).cast("long")
+    small = members.join(buckets.where(~large).select("band"), "band").select("node", "band", "b", none.alias("i"), none.alias("j"), F.lit(0).alias("side"))
+
+    split = stored(members.join(buckets.where(large).select("band"), "band"), "large")
+    earlier = split.select("band", F.posexplode(F.slice("bands", 1, F.least("b", F.lit(EARLIER)))).alias("at", "value"))
+    votes = earlier.groupBy("band", "at", "value").agg(F.count("*").alias("n"))
+    common = votes.groupBy("band", "at").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
+    common = common.groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("common"))  # EARLIER entries at most
+    bits = (F.when(F.get("bands", F.lit(k)) == F.try_element_at("common", F.lit(k)), F.lit(1 << k)).otherwise(0) for k in range(EARLIER))
+    masked = stored(split.join(common, "band", "left").select("node", "size", "band", "b", sum(map(lambda x: F.coalesce(x, F.lit(0)), bits), F.lit(0)).alias("mask")), "masked")
+    parts = masked.groupBy("band", "mask").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_shingles)).alias("blocks"))
+    told = parts.groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct("mask", "blocks"))).alias("parts"))  # 2 ** EARLIER entries at most
+    own = F.shiftleft(F.col("mask").cast("long"), 32) + F.pmod(F.xxhash64(F.lit(5), "node"), F.element_at("parts", F.col("mask")))
+    apart = F.filter(F.map_entries("parts"), lambda p: p["key"].bitwiseAND(F.col("mask")) == 0)
+    others = F.flatten(F.transform(apart, lambda p: F.transform(F.sequence(F.lit(0).cast("long"), p["value"] - 1), lambda k: F.shiftleft(p["key"].cast("long"), 32) + k)))
+    placed = masked.join(told, "band").withColumn("own", own).withColumn("other", F.explode(others))
+    tiles = placed.select("node", "band", "b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return small.union(tiles)
+
+
+def join_similar(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Rows (doc_id, text_hash, class_key, class_id, n_links, n_copies), one for each row of docs (doc_id, text). class_key
     names the class, class_id is the least id in it (null if it has none)."""
     bands, rows = bands_and_rows(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    sketch = stored(docs.mapInArrow(_sketch(n, bands, rows, threshold), "doc_id long, text_hash long, f1 long, f2 long, bands array<long>"), "sketch")
-    classes = sketch.groupBy("f1", "f2").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("told"), F.any_value("bands").alias("bands"))
-    classes = stored(classes, "classes")
-
-    members = classes.select(F.col("f1").alias("node"), F.explode("bands").alias("band"))
-    hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
-    ties = members.join(hubs.select("band", "hub"), "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    candidate = components(ties)
-    sizes = candidate.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = candidate.join(sizes, "root").select("node", F.col("root").alias("component"), "blocks", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int").alias("own"))
-    wanted = classes.join(placed, classes.f1 == placed.node).select("node", "component", "blocks", "own", F.col("n_copies").alias("copies"), F.col("told.doc_id").alias("told_id"), F.col("told.text_hash").alias("told_hash"))
-    fetched = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.told_id) & (docs.text_hash == wanted.told_hash))
-    sets = fetched.select("node", "component", "blocks", "own", "copies", "text").mapInArrow(_sets(n), "node long, component long, blocks int, own int, copies long, shingles binary")
-    tiles = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "copies", "shingles"
+    sketch = stored(docs.mapInArrow(_sketch(n, bands, rows, threshold), "doc_id long, text_hash long, f1 long, f2 long, size long, bands array<long>"), "sketch")
+    classes = sketch.groupBy("f1", "f2").agg(
+        F.count("*").alias("n_copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("told"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")
     )
+    # A class is named by its row, so that no two have one name; the rows are written once.
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    tiles = stored(_dealt(classes, block, block_shingles), "tiles")
+    wanted = tiles.select("node").distinct().join(classes.select("node", F.col("n_copies").alias("copies"), "bands", F.col("told.doc_id").alias("told_id"), F.col("told.text_hash").alias("told_hash")), "node")
+    wanted = stored(wanted, "wanted")
+    sent = docs.sparkSession.sparkContext.broadcast(_marked(wanted.select(F.col("told_hash").alias("text_hash"))))
+    sets = docs.mapInArrow(_sets(n, sent), "doc_id long, text_hash long, shingles binary").dropDuplicates(["doc_id", "text_hash"])
+    fetched = sets.join(wanted, sets.doc_id.eqNullSafe(wanted.told_id) & (sets.text_hash == wanted.told_hash)).select("node", "copies", "bands", "shingles")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    verified = stored(tiles.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_verify(threshold), "node long, links long, root long"), "verified")
+    dealt = tiles.join(fetched, "node").repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    verified = stored(dealt.select("band", "b", "i", "j", "side", "node", "copies", "bands", "shingles").mapInArrow(_verify(threshold), "node long, links long, root long"), "verified")
 
     found = components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.select("f1", "f2", "n_copies", "first_id").join(links, F.col("f1") == F.col("node"), "left").drop("node").join(found, F.col("f1") == F.col("node"), "left").drop("node")
-    known = known.withColumn("root", F.coalesce("root", "f1"))
+    known = classes.select("node", "f1", "f2", "n_copies", "first_id").join(links, "node", "left").join(found, "node", "left")
+    known = known.withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
     told = known.join(least, "root").select("f1", "f2", F.col("root").alias("class_key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), "n_copies")
     return sketch.select("doc_id", "text_hash", "f1", "f2").join(told, ["f1", "f2"]).select("doc_id", "text_hash", "class_key", "class_id", "n_links", "n_copies")

@@ -54,10 +54,10 @@ def corpus(prose):
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_equals_brute_force(spark, documents, prose, odd, block):
-    rows = corpus(prose) + [(i, t) for i, t in odd if i != 4] + [(900, "one two"), (901, "One, two!"), (902, "one two three"), (903, "???"), (904, "???"), (905, "!?!")]
-    found = join_similar(documents(rows), block=block).collect()
+@pytest.mark.parametrize(("block", "shingles"), [(512, 1 << 20), (3, 1 << 20), (512, 300)])
+def test_equals_brute_force(spark, documents, prose, odd, block, shingles):
+    rows = corpus(prose) + odd + [(900, "one two"), (901, "One, two!"), (902, "one two three"), (903, "???"), (904, "???"), (905, "!?!")]
+    found = join_similar(documents(rows), block=block, block_shingles=shingles).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.class_id is None else r.class_id, r.n_links) for r in found) == brute(rows)
 
 
@@ -70,6 +70,29 @@ def test_one_of_each_class_stays(spark, documents, prose, odd):
     assert {r.doc_id for r in kept.collect()} == {None if i == -1 else i for i, c, _ in found if c in (i, -1)}
 
 
+def test_chains_of_unlike_texts_are_not_compared(spark, documents, prose):
+    """Each text shares two thirds with the next: some share a bucket, so that all are chained; far ones never meet."""
+    parts = [prose(30, 2000 + k) for k in range(60)]
+    rows = [(k, " ".join(parts[k : k + 12])) for k in range(48)]
+    found = join_similar(documents(rows), recall=0.9995).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in found) == brute(rows)
+
+
+def test_large_group_with_many_masks(spark, documents, prose):
+    base = prose(80, 7)
+    rows = [(k, near(base, k % 4, 70 + k)) for k in range(90)]
+    for block in (512, 4):
+        found = join_similar(documents(rows), block=block).collect()
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in found) == brute(rows)
+
+
+def test_very_long_texts(spark, documents, prose):
+    long = " ".join(prose(20000, k) + f" w{k}" for k in range(20))
+    rows = [(1, long), (2, long + " more words than before"), (3, prose(20000, 5)), (4, long)]
+    found = {r.doc_id: (r.class_id, r.n_links) for r in join_similar(documents(rows)).collect()}
+    assert found == {1: (1, 2), 2: (1, 2), 3: (3, 0), 4: (1, 2)}
+
+
 def test_empty(spark, documents):
     assert join_similar(documents([])).count() == 0 and keep_one(documents([])).count() == 0
 
