@@ -6,7 +6,7 @@ numbers; a word's number follows from its shard's files and one table of offsets
 
 N-grams. A second pass counts n-grams of word numbers per block of text and sends one compressed row per block and shard; shards are
 ranges of the n-gram's hash, so their sizes are even whatever the words are. A shard adds up counts, writes its sorted
-hashes and counts, and passes on to the next lower order (a) what each context needs: its total and its numbers of followers
+hashes (their leading bits in a directory) and counts, and passes on to the next lower order (a) what each context needs: its total and its numbers of followers
 seen once, twice, three times or more, and (b) one continuation per distinct n-gram. All orders are one job, so nothing is
 written between them but the shuffles. Nothing but a few totals per shard comes to the driver. Sums that would not fit 32 bits
 are kept in 64.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sensorgrid.llm.files import mapped, write_array
 from sensorgrid.llm.shared import checkpoint_dir
-from sensorgrid.llm.words import SPACED, Words, chunks, mix
+from sensorgrid.llm.words import SPACED, Words, chunks, lookup, mix
 
 ORDER = 3
 #: Text bytes for which there is one shard.
@@ -75,12 +75,17 @@ def _padded(ids: np.ndarray, first: np.ndarray, lead: int) -> tuple[np.ndarray,
     return out, place
 
 
-def _joined(ids: np.ndarray) -> np.ndarray:
-    """Hash of the numbers in each row."""
+def _leading(shards: int) -> int:
+    """Bits of an n-gram's hash that a shard's directory holds: the more data, the more; 40 others are written."""
+    return min(24, max(20, shards.bit_length() + 14))
+
+
+def _joined(ids: np.ndarray, shards: int) -> np.ndarray:
+    """Hash of the numbers in each row, in its leading bits: 60 with few shards, 64 from a thousand on."""
     total = mix(ids[:, 0].astype(np.uint64))
     for j in range(1, ids.shape[1]):
         total = mix(total + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % (1 << 64))) ^ ids[:, j].astype(np.uint64)
-    return mix(total)
+    return mix(total) >> np.uint64(24 - _leading(shards)) << np.uint64(24 - _leading(shards))
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -141,7 +146,7 @@ def _rows(level: int, part: str, keys: np.ndarray, shards: int, packed: Callable
 
 
 def _gram_rows(level: int, part: str, ids: np.ndarray, counts: list[np.ndarray], shards: int) -> pa.RecordBatch:
-    keys, place, counts = _summed(_joined(ids), *counts)
+    keys, place, counts = _summed(_joined(ids, shards), *counts)
     ids = ids[place]
 
     def packed(mine: slice) -> bytes:
@@ -205,7 +210,8 @@ def _reduce_words(path: str):
         sizes = np.bincount(kind, minlength=CLASSES)
         place = np.empty(len(words), np.uint32)
         place[order] = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        _write_counts(f"{path}/gram0-{shard}", words, counts[:, None])
+        write_array(f"{path}/gram0-{shard}-keys.npy", words)
+        _write_counts(f"{path}/gram0-{shard}", counts[:, None])
         write_array(f"{path}/gram0-{shard}-places.npy", place)
         return _totals(0, shard, np.array([len(words), counts.sum(dtype=np.int64), *sizes], np.int64))
 
@@ -241,19 +247,19 @@ def _reduce(path: str, shards: int, order: int):
             return table
         level, shard = (table.column(x)[0].as_py() for x in ("level", "shard"))
         ids, told = _gathered(table, "seen", level)
-        keys, place, (seen,) = _summed(_joined(ids), told[0])
+        keys, place, (seen,) = _summed(_joined(ids, shards), told[0])
         ids = ids[place]
         if level == order:
-            _write_counts(f"{path}/gram{level}-{shard}", keys, seen[:, None])
+            _write_grams(f"{path}/gram{level}-{shard}", keys, seen[:, None], shard, shards)
         else:
             contexts, told = _gathered(table, "context", level)
-            others, _, told = _summed(_joined(contexts), *told)
+            others, _, told = _summed(_joined(contexts, shards), *told)
             every = np.union1d(keys, others)
             counts = np.zeros((len(every), 5), np.uint64 if any(c.dtype == np.uint64 for c in (seen, *told)) else np.uint32)
             counts[np.searchsorted(every, keys), 0] = seen
             for j, c in enumerate(told):
                 counts[np.searchsorted(every, others), j + 1] = c
-            _write_counts(f"{path}/gram{level}-{shard}", every, counts)
+            _write_grams(f"{path}/gram{level}-{shard}", every, counts, shard, shards)
             del contexts, others, every, counts
         out = [_totals(level, shard, np.array([*((seen == k).sum() for k in (1, 2, 3, 4)), len(seen), seen.sum(dtype=np.int64)], np.int64))]
         if level > 1 and len(ids):
@@ -265,25 +271,62 @@ def _reduce(path: str, shards: int, order: int):
     return run
 
 
-def _write_counts(name: str, keys: np.ndarray, counts: np.ndarray) -> None:
+def _write_counts(name: str, counts: np.ndarray) -> None:
     """Counts take a byte each; rows with one of _LARGE or more are written whole, after their places."""
     large = np.flatnonzero((counts >= _LARGE).any(axis=1))
-    write_array(f"{name}-keys.npy", keys)
     write_array(f"{name}-counts.npy", np.minimum(counts, _LARGE).astype(np.uint8))
     write_array(f"{name}-large.npy", np.concatenate([large[:, None], counts[large].astype(np.int64)], axis=1))
 
 
-def _looked_up(name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which of some sorted keys a shard has, where, and their counts."""
-    table = mapped(f"{name}-keys.npy")
-    at = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
-    ok = np.flatnonzero(table[at] == keys) if len(table) else np.zeros(0, np.int64)
-    found = mapped(f"{name}-counts.npy")[at[ok]].astype(np.int64)
+def _counts(name: str, at: np.ndarray) -> np.ndarray:
+    """Rows of counts at sorted places."""
+    found = mapped(f"{name}-counts.npy")[at].astype(np.int64)
     beyond = np.flatnonzero((found == _LARGE).any(axis=1))
     if len(beyond):
         large = mapped(f"{name}-large.npy")
-        found[beyond] = large[np.searchsorted(large[:, 0], at[ok[beyond]]), 1:]
-    return ok, at[ok], found
+        found[beyond] = large[np.searchsorted(large[:, 0], at[beyond]), 1:]
+    return found
+
+
+def _prefixes(shard: int, shards: int) -> np.ndarray:
+    """The leading bits that keys of a shard can have, and one value more."""
+    least, below = (-(-(s << 32) // shards) << 32 for s in (shard, shard + 1))
+    down = 64 - _leading(shards)
+    return np.arange(least >> down, ((below - 1) >> down) + 2, dtype=np.uint64)
+
+
+def _write_grams(name: str, keys: np.ndarray, counts: np.ndarray, shard: int, shards: int) -> None:
+    """Sorted hashes without their leading bits, 5 bytes each, a directory of where each value of those begins, and counts."""
+    leading = _leading(shards)
+    rest = keys >> np.uint64(24 - leading)
+    write_array(f"{name}-starts.npy", np.searchsorted(keys >> np.uint64(64 - leading), _prefixes(shard, shards)).astype(np.uint32 if len(keys) < 1 << 32 else np.uint64))
+    write_array(f"{name}-high.npy", (rest >> np.uint64(8)).astype(np.uint32))
+    write_array(f"{name}-low.npy", rest.astype(np.uint8))
+    _write_counts(name, counts)
+
+
+def _found(name: str, keys: np.ndarray, shard: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of some sorted keys a shard has, and their counts: a search by halves for all keys at once, each within its directory entry."""
+    leading = _leading(shards)
+    starts, high, low = (mapped(f"{name}-{x}.npy") for x in ("starts", "high", "low"))
+    entry = ((keys >> np.uint64(64 - leading)) - _prefixes(shard, shards)[0]).astype(np.int64)
+    at, end = starts[entry].astype(np.int64), starts[entry + 1].astype(np.int64)
+    wanted = keys >> np.uint64(24 - leading) & np.uint64((1 << 40) - 1)
+    open_ = np.flatnonzero(at < end)
+    ok = np.zeros(len(keys), bool)
+    while len(open_):
+        middle = (at[open_] + end[open_]) >> 1
+        value = high[middle].astype(np.uint64) << np.uint64(8) | low[middle]
+        same = value == wanted[open_]
+        ok[open_[same]], at[open_[same]] = True, middle[same]
+        right = value < wanted[open_]
+        at[open_[right]] = middle[right] + 1
+        left = ~(same | right)
+        end[open_[left]] = middle[left]
+        open_ = open_[~same]
+        open_ = open_[at[open_] < end[open_]]
+    ok = np.flatnonzero(ok)
+    return ok, _counts(name, at[ok])
 
 
 class Vocabulary:
@@ -300,9 +343,10 @@ class Vocabulary:
         offsets = mapped(f"{self.path}/offsets.npy")
         for s in np.flatnonzero((np.diff(cuts) > 0) & self.present):
             name = f"{self.path}/gram0-{s}"
-            ok, at, found = _looked_up(name, distinct[cuts[s] : cuts[s + 1]])
-            counts[cuts[s] + ok] = found[:, 0]
-            ids[cuts[s] + ok] = offsets[s, _class(found[:, 0])] + mapped(f"{name}-places.npy")[at]
+            at, known = lookup(mapped(f"{name}-keys.npy"), distinct[cuts[s] : cuts[s + 1]])
+            ok, at = cuts[s] + np.flatnonzero(known), at[known]
+            counts[ok] = _counts(name, at)[:, 0]
+            ids[ok] = offsets[s, _class(counts[ok])] + mapped(f"{name}-places.npy")[at]
         return counts[back], ids[back]
 
 
@@ -324,8 +368,8 @@ class Model:
         cuts = _cuts(distinct, self.words.shards)
         out = np.zeros((len(distinct), 1 if level == self.order else 5), np.int64)
         for s in np.flatnonzero((np.diff(cuts) > 0) & self.present[level]):
-            ok, _, found = _looked_up(f"{self.words.path}/gram{level}-{s}", distinct[cuts[s] : cuts[s + 1]])
-            out[cuts[s] + ok] = found
+            ok, counts = _found(f"{self.words.path}/gram{level}-{s}", distinct[cuts[s] : cuts[s + 1]], int(s), self.words.shards)
+            out[cuts[s] + ok] = counts
         return out[back]
 
     def probabilities(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -334,7 +378,7 @@ class Model:
         d, p, before = self.discounts[1], np.full(len(place), 1.0 / (self.words.size + 1)), None
         for level in range(1, self.order + 1):
             grams = np.stack([np.roll(ids, j) for j in range(level - 1, -1, -1)], axis=1)
-            rows = self._find(level, _joined(grams))
+            rows = self._find(level, _joined(grams, self.words.shards))
             c, d = rows[place, 0], self.discounts[level]
             discounted = np.maximum(c - d[np.minimum(c, 3)], 0)
             if level == 1:

@@ -5,8 +5,10 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 
+from sensorgrid.llm import language_model
 from sensorgrid.llm.language_model import train_and_score
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,3 +82,25 @@ def test_large_counts_are_kept_whole(spark, documents):
     rows = [(i, "a b c " * 300 + "d e") for i in range(30)]
     found = {r.doc_id: r.score for r in train_and_score(documents(rows), 3).collect()}
     assert found == pytest.approx({r[0]: r[6] for r in brute(rows, 3)}, rel=1e-9)
+
+
+def test_wide_sums_and_columns():
+    keys, _, (sums,) = language_model._summed(np.array([3, 1, 3], np.uint64), np.array([2**32 - 1, 5, 7], np.uint32))
+    assert keys.tolist() == [1, 3] and sums.tolist() == [5, 2**32 + 6]
+    columns = [np.array([0, 1, 2**40], np.uint64), np.array([1, 255, 65536], np.uint32), np.zeros(3, np.uint32)]
+    assert [c.tolist() for c in language_model._unpacked(language_model._packed(columns))] == [c.tolist() for c in columns]
+
+
+@pytest.mark.parametrize("shards", [1, 3, 64, 5000])
+def test_written_grams_are_found(tmp_path, shards):
+    ids = np.random.default_rng(1).integers(0, 10**6, (20000, 3)).astype(np.uint32)
+    keys = np.unique(language_model._joined(ids, shards))
+    cuts = language_model._cuts(keys, shards)
+    for s in {0, shards // 2, shards - 1}:
+        mine = keys[cuts[s] : cuts[s + 1]]
+        language_model._write_grams(f"{tmp_path}/{shards}-{s}", mine, (np.arange(len(mine)) % 700)[:, None], s, shards)
+        some = np.unique(np.concatenate([mine[::3], mine[1::3] + np.uint64(1 << 20)]))
+        some = some[np.searchsorted(language_model._bounds(shards), some, side="right") == s]
+        ok, counts = language_model._found(f"{tmp_path}/{shards}-{s}", some, s, shards)
+        assert some[ok].tolist() == np.intersect1d(some, mine).tolist()
+        assert counts[:, 0].tolist() == (np.searchsorted(mine, some[ok]) % 700).tolist()
