@@ -6,11 +6,16 @@ and whether it begins with a capital. Start, transition and observation probabil
 transcripts; Viterbi gives the likeliest states, whose turns lose their markers and are rendered one after another.
 
 Rows are independent, so a task holds one batch of transcripts. `transcripts` makes them from a table of turns; a long
-conversation gives one transcript per PART turns, so that none grows without bound.
+conversation gives one transcript per PART turns, and where more than PART rows claim the same turns (repeated numbers, no number,
+no conversation) they are dealt by hash to as many transcripts as it takes, so that none grows without bound. Conversations that are
+held out are written in marker styles of their own, which the model never saw.
+
+A turn's text is what the transcript has from its marker to its last line that is not blank, untouched. Blank lines around turns
+part them and are not kept.
 
 Edge cases: a null or empty text has no turns and renders as an empty text; null ids are kept; a text that itself holds the
-canonical marks has them broken up by a space; without training transcripts markers alone
-decide; in `transcripts`, null turns come first, a null role is `user`, a null text is empty and repeated rows count
+canonical marks has them broken up by a space; lines end with LF, CR or both; without training transcripts markers alone
+decide; in `transcripts`, null turns come first, a role that is not one of ROLES is `user`, a null text is empty and repeated rows count
 once; ties go to the first state in the order of ROLES; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROLES = ("system", "user", "assistant")
+ROLES = ("system", "user", "assistant", "tool")
 #: Turns of a conversation in one transcript.
 PART = 128
 SMOOTHING = 0.5
@@ -37,37 +42,47 @@ MARKERS = {
     "system": "system instruction instructions context",
     "user": "user human customer question q client prompter",
     "assistant": "assistant ai bot agent answer a model gpt response",
+    "tool": "tool function observation",
 }
 _ROLE_OF = {w: r for r, words in MARKERS.items() for w in words.split()}
 _MARKER = re.compile(r"^\s*(?:#{1,4}\s*|\*{2}|<\|?|\[|\(|-\s+)?(" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")\b\s*(?:\*{2}\s*:?|\|?>\s*:?|\]\s*:?|\)\s*:?|:\s*(?:\*{2})?|>)\s*", re.IGNORECASE)
 
-#: Styles in which `transcripts` writes the markers of the three roles; the last has none.
+#: Styles in which `transcripts` writes the markers of the roles; the last has none. Those of HELD_STYLES are not learnt from.
 STYLES = (
-    ("System: ", "User: ", "Assistant: "),
-    ("### Instruction: ", "### Human: ", "### Assistant: "),
-    ("[system] ", "[user] ", "[bot] "),
-    ("**Context:** ", "**Question:** ", "**Answer:** "),
-    ("Instructions> ", "Client> ", "Agent> "),
-    ("", "", ""),
+    ("System: ", "User: ", "Assistant: ", "Tool: "),
+    ("### Instruction: ", "### Human: ", "### Assistant: ", "### Function: "),
+    ("[system] ", "[user] ", "[bot] ", "[tool] "),
+    ("", "", "", ""),
+)
+HELD_STYLES = (
+    ("**Context:** ", "**Question:** ", "**Answer:** ", "**Observation:** "),
+    ("Instructions> ", "Client> ", "Agent> ", "Function> "),
+    ("", "", "", ""),
 )
 
 #: Sizes of the observations: marker's role or none, blank before, length, last character, capital.
-_WIDTHS = (4, 2, 5, 4, 2)
+_WIDTHS = (len(ROLES) + 1, 2, 5, 4, 2)
 _LENGTHS = (20, 80, 200, 600)
 STATES = 2 * len(ROLES)  # 2 * role + (0 where a turn begins, 1 inside it)
 _PARSED = "n_lines long, turns array<struct<role:string,text:string>>, rendered string"
 
 
+_LINE = re.compile(r"[^\r\n]+")
+
+
+def line_spans(text: str) -> list[tuple[int, int]]:
+    """Where the lines that are not blank begin and end."""
+    return [m.span() for m in _LINE.finditer(text) if not m[0].isspace()]
+
+
 def split_lines(text: str) -> tuple[list[str], list[bool]]:
-    """Lines that are not blank, and whether a blank one comes before each."""
-    lines, gaps, gap = [], [], True
-    for line in text.split("\n"):
-        if line.strip():
-            lines.append(line)
-            gaps.append(gap)
-            gap = False
-        else:
-            gap = True
+    """Lines that are not blank, and whether a blank one (or the start) comes before each."""
+    lines, gaps, end = [], [], 0
+    for a, b in line_spans(text):
+        between = text[end:a].replace("\r\n", "\n").replace("\r", "\n")
+        lines.append(text[a:b])
+        gaps.append(not gaps or between.count("\n") > 1)
+        end = b
     return lines, gaps
 
 
@@ -116,18 +131,21 @@ class Model:
 
     def parse(self, text: str | None) -> tuple[int, list[tuple[str, str]]]:
         """Number of lines, and turns (role, text)."""
-        lines, gaps = split_lines(text or "")
-        turns: list[tuple[str, list[str]]] = []
-        for line, gap, state in zip(lines, gaps, self.viterbi(observe(lines, gaps)).tolist(), strict=True):
+        text = text or ""
+        lines, gaps = split_lines(text)
+        turns: list[list] = []  # role, start, end
+        for line, (start, end), state in zip(lines, line_spans(text), self.viterbi(observe(lines, gaps)).tolist(), strict=True):
             if state % 2 == 0:
-                turns.append((ROLES[state // 2], [_MARKER.sub("", line, count=1)]))
+                role, found = ROLES[state // 2], _MARKER.match(line)
+                marked = found and _ROLE_OF[found[1].lower()] == role  # another role's word is the turn's own
+                turns.append([role, start + (found.end() if marked else 0), end])
             else:
-                turns[-1][1].extend([""] * gap + [line])
-        return len(lines), [(r, "\n".join(x)) for r, x in turns]
+                turns[-1][2] = end
+        return len(lines), [(role, text[start:end]) for role, start, end in turns]
 
 
 def render(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|im_start|>{role}\n{text.replace('<|', '< |').strip()}<|im_end|>\n" for role, text in turns)
+    return "".join(f"<|im_start|>{role}\n{text.replace('<|', '< |')}<|im_end|>\n" for role, text in turns)
 
 
 #: Places of starts, transitions and observations in one array of counts.
@@ -167,16 +185,22 @@ def held_out(conv_id: Column | str) -> Column:
 
 
 def transcripts(turns: DataFrame) -> DataFrame:
-    """Rows (conv_id, part, text, told): transcripts of turns (conv_id, turn, role, text), with told, the (role, written) of each turn."""
-    style = F.pmod(F.xxhash64("conv_id", "part"), F.lit(len(STYLES))) + 1
+    """Rows (conv_id, part, slot, text, told): transcripts of turns (conv_id, turn, role, text), with told, the (role, written) of each turn."""
     role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise("user")
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / PART), F.lit(0)).cast("long"))
-    lead = F.element_at(F.element_at(F.array(*(F.array(*map(F.lit, s)) for s in STYLES)), style.cast("int")), F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int"))
-    rows = rows.withColumn("written", F.concat(lead, "text"))
-    grouped = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "written"))).alias("told"))
+    crowded = rows.groupBy("conv_id", "part").agg(F.ceil(F.count("*") / PART).alias("slots")).where("slots > 1").withColumnsRenamed({"conv_id": "c", "part": "p"})
+    slot = F.coalesce(F.pmod(F.xxhash64("turn", "role", "text"), F.col("slots")), F.lit(0))
+    rows = rows.join(crowded, rows["conv_id"].eqNullSafe(crowded["c"]) & (rows["part"] == crowded["p"]), "left").withColumn("slot", slot).drop("slots", "c", "p")
+
+    def marker(styles: tuple) -> Column:
+        style = F.pmod(F.xxhash64("conv_id", "part", "slot"), F.lit(len(styles))) + 1
+        return F.element_at(F.element_at(F.array(*(F.array(*map(F.lit, s)) for s in styles)), style.cast("int")), F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int"))
+
+    rows = rows.withColumn("written", F.concat(F.when(held_out("conv_id"), marker(HELD_STYLES)).otherwise(marker(STYLES)), "text"))
+    grouped = rows.groupBy("conv_id", "part", "slot").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "written"))).alias("told"))  # about PART rows at most
     text = F.array_join(F.transform("told", lambda t: t["written"]), "\n\n")
-    return grouped.select("conv_id", "part", text.alias("text"), F.transform("told", lambda t: F.struct(t["role"].alias("role"), t["written"].alias("written"))).alias("told"))
+    return grouped.select("conv_id", "part", "slot", text.alias("text"), F.transform("told", lambda t: F.struct(t["role"].alias("role"), t["written"].alias("written"))).alias("told"))
 
 
 def train(labelled: DataFrame) -> Model:
@@ -219,9 +243,9 @@ def parse(texts: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFra
 def parse_conversations(turns: DataFrame) -> DataFrame:
     """Transcripts of a table of turns, parsed by a model of those that are not held out, beside the roles that were told."""
     made = transcripts(turns)
-    parsed = parse(made, train(made.where(~held_out("conv_id"))), keep=("conv_id", "part", "told"))
+    parsed = parse(made, train(made.where(~held_out("conv_id"))), keep=("conv_id", "part", "slot", "told"))
     right = F.size(F.filter(F.arrays_zip(F.transform("told", lambda t: t["role"]).alias("a"), F.transform("turns", lambda t: t["role"]).alias("b")), lambda z: z["a"] == z["b"]))
     return parsed.select(
-        "conv_id", "part", held_out("conv_id").alias("held_out"), "n_lines", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"),
+        "conv_id", "part", "slot", held_out("conv_id").alias("held_out"), "n_lines", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"),
         "rendered", F.size("told").cast("long").alias("n_told"), right.cast("long").alias("n_right"),
     )

@@ -178,3 +178,79 @@ def test_every_language_is_trained_on(spark, documents, prose, monkeypatch):
     seen, ids = [], [i for i in range(60) if crc(i) % 4 != 2]
     names, _ = language_id.train(documents([(i, prose(10, i)) for i in ids], {k: "abcd"[k % 4] for k in range(len(ids))}))
     assert names == ["a", "b", "c", "d"] and seen == [12]
+
+
+def test_turns_are_kept_as_written():
+    model = chat_format.counts([])
+    text = "User: a  b\r\n\r\n\r\n  indented\r\n\r\nAssistant:  c \nAnswer: is in it\r\n\n[tool] {}\n"
+    assert model.parse(text)[1][0] == ("user", "a  b\r\n\r\n\r\n  indented") and model.parse(text)[1][-1] == ("tool", "{}")
+    assert chat_format.render([("user", " a\n\n\nb ")]) == "<|im_start|>user\n a\n\n\nb <|im_end|>\n"
+    lines, gaps = chat_format.split_lines("a\r\rb\nc\r\nd\r\n\r\ne")
+    assert lines == list("abcde") and gaps == [True, True, False, False, True]
+
+
+def test_crowded_turns_are_dealt_out(spark):
+    rows = [(1, 0, "user", f"t{k}") for k in range(1000)] + [(None, None, "user", f"n{k}") for k in range(900)] + [(2, 0, "tool", "x"), (2, 1, "odd", "y")]
+    made = chat_format.transcripts(spark.createDataFrame(rows, TURNS)).collect()
+    sizes = {(r.conv_id, r.part, r.slot): len(r.told) for r in made}
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) < 2 * chat_format.PART and sizes[2, 0, 0] == 2
+    assert [t.role for r in made if r.conv_id == 2 for t in r.told] == ["tool", "user"]
+
+
+def test_clashing_columns_and_styles_held_out(spark):
+    rows = [(*r, "x", "y", "z") for r in conversations(40)]
+    table = spark.createDataFrame(rows, TURNS + ", told string, slot string, part string")
+    made = chat_format.transcripts(table).withColumn("held", chat_format.held_out("conv_id")).collect()
+    marks = {h: {r.text.split("ord")[0][:-1].strip() for r in made if r.held == h} for h in (True, False)}
+    assert marks[True] & marks[False] <= {""} and chat_format.parse_conversations(table).count() == len(made)
+
+
+def test_features_of_a_text_are_bounded(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "MAX_FEATURES", 10)
+    ids, counts = np.arange(100, dtype=np.int32), np.arange(100).astype(np.uint16)
+    a, b = toxicity._bounded(ids, counts)
+    assert len(a) == 10 and (a == b).all() and (np.diff(a) > 0).all()
+    c, _ = toxicity._bounded(ids[a.min() :], counts[a.min() :])
+    assert set(a) <= set(c)  # by hash, whatever else a text holds
+
+
+def test_toxicity_scores_equal_plain_sums(spark, documents, prose, odd):
+    """The scores of the query's own table, from features counted one by one."""
+    import math
+
+    import numpy as np
+
+    rows = [(i, prose(30, i) + (" vile nasty" if i % 3 == 0 else "")) for i in range(120)] + odd
+    table, bias = toxicity.train(documents(rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int"))
+    told = sorted((r.doc_id or -1, r.score) for r in toxicity.score(documents(rows), table, bias).collect())
+    plain = []
+    for i, t in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        total, weight = 0.0, 0.0
+        for buckets, _ in toxicity.features(data, np.array([0, len(data)])):
+            for b in buckets.tolist():
+                total, weight = total + float(table[b, 0]), weight + float(table[b, 1])
+        plain.append((i or -1, 1 / (1 + math.exp(-(total / max(weight, 1) + bias)))))
+    assert [x[0] for x in told] == [x[0] for x in sorted(plain)]
+    assert [x[1] for x in told] == pytest.approx([x[1] for x in sorted(plain)], rel=1e-6)
+
+
+def test_language_scores_equal_plain_convolutions():
+    import numpy as np
+    import pyarrow as pa
+
+    network, text = language_id.Network(3), "abc é def " * 40
+    p, sums = network.p, np.zeros(3)
+    raw = text.encode()
+    for at in range(0, len(raw), language_id.WINDOW):
+        window = raw[at : at + language_id.WINDOW]
+        padded = np.frombuffer(window.ljust(language_id.WINDOW + 3, b"\0"), np.uint8)
+        best = np.full(p["filters"].shape[1], -np.inf)
+        for k in range(language_id.WINDOW):
+            best = np.maximum(best, p["embed"][padded[k : k + 4]].reshape(-1) @ p["filters"])
+        logit = np.maximum(best + p["shift"], 0) @ p["out"] + p["bias"]
+        e = np.exp(logit - logit.max())
+        sums += e / e.sum() * len(window)
+    assert language_id.mean_probabilities(pa.array([text]), network)[0] == pytest.approx(sums / len(raw), rel=1e-4)
