@@ -3,11 +3,12 @@
 A text's features are its words and their byte n-grams with word ends marked, hashed into BUCKETS vectors. The vectors
 are averaged over the text, frequent ones with less weight, and a linear softmax over the average gives the two classes;
 vectors and softmax are trained together with Adagrad. A misspelt word still shares most n-grams with the word that was
-learnt. Buckets met in fewer than MIN_DOCUMENTS of the sample have weight zero, so that they cannot learn single texts.
+learnt. Buckets met in too few documents of the sample have weight zero, so that they cannot learn single texts; how many are too
+few is chosen among MIN_DOCUMENTS by the loss on a fifth of the training rows.
 
 As the average and the softmax are both linear, scoring needs two numbers per bucket, a table of fixed size (16 MiB), which
 is broadcast. Training takes at most MAX_TOXIC + MAX_CLEAN labelled documents, the first by a hash of the id, each counted once; their
-features are extracted in Spark.
+features are extracted in Spark, at most MAX_FEATURES of a text, those of the least hashes. So what comes to the driver is bounded.
 
 Edge cases: a null text is an empty one; a text without words is scored by the bias alone; a null doc_id hashes as an
 empty string; unlabelled rows and null labels are not learnt from; rows with several labels count as toxic if one says so;
@@ -31,9 +32,9 @@ DIMENSIONS = 8
 SIZES = (3, 4, 5)
 THRESHOLD = 0.7
 #: Bounds of the training sample.
-MAX_TOXIC, MAX_CLEAN = 3000, 4500
+MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 3000, 4500, 3000
 EPOCHS, RATE, BATCH, DECAY = 8, 0.5, 32, 1e-4
-MIN_DOCUMENTS = 10
+MIN_DOCUMENTS = (3, 10)
 #: Share of documents beyond which a feature's weight falls, with the square root of its share.
 FREQUENT = 0.01
 
@@ -83,20 +84,48 @@ def _of_documents(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarra
     return [((keys[a:b] % BUCKETS).astype(np.int32), np.minimum(counts[a:b], 65535).astype(np.uint16)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _bounded(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most MAX_FEATURES of a document's buckets: those of the least hashes, wherever they stand in the text."""
+    if len(ids) <= MAX_FEATURES:
+        return ids, counts
+    kept = np.sort(np.argpartition(mix(ids.astype(np.uint64)), MAX_FEATURES)[:MAX_FEATURES])
+    return ids[kept], counts[kept]
+
+
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Trains on bags of buckets, which it uses up; returns for each bucket its contribution to the log-odds of class 1 and its weight, and the bias."""
+    """Chooses among MIN_DOCUMENTS by the loss on every fifth bag when the others are learnt from, and trains on all bags."""
+    inner = np.arange(len(bags)) % 5 == 0
+    learnt = np.flatnonzero(~inner)
+    least, best = np.inf, MIN_DOCUMENTS[-1]
+    if len(set(toxic[learnt].tolist())) == 2:
+        for few in MIN_DOCUMENTS:
+            table, bias = _fit([bags[i] for i in learnt], toxic[learnt], few, seed)
+            loss = 0.0
+            for i in np.flatnonzero(inner):
+                ids, counts = bags[i]
+                told, weight = (table[ids].astype(np.float64) * counts[:, None]).sum(axis=0)
+                loss += np.logaddexp(0, (1 - 2 * toxic[i]) * (told / max(weight, 1) + bias))
+            if loss < least:
+                least, best = loss, few
+    return _fit(bags, toxic, best, seed)
+
+
+def _fit(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, few: int, seed: int) -> tuple[np.ndarray, float]:
+    """Trains on bags of buckets; returns for each bucket its contribution to the log-odds of class 1 and its weight, and the bias."""
     rng = np.random.default_rng(seed)
     met = np.zeros(BUCKETS, np.int32)
     for ids, _ in bags:
         met[ids] += 1
     weight = np.minimum(1, np.sqrt(FREQUENT * len(bags) / np.maximum(met, 1))).astype(np.float32)
-    weight[met < MIN_DOCUMENTS] = 0
+    weight[met < few] = 0
     used = np.flatnonzero(weight)
     slot = np.zeros(BUCKETS, np.int32)
     slot[used] = np.arange(len(used))
-    for i, (ids, counts) in enumerate(bags):  # in place, so that each text's unpruned features are freed at once
+    kept = []
+    for ids, counts in bags:
         ids, counts = ids[weight[ids] > 0], (counts * weight[ids])[weight[ids] > 0]
-        bags[i] = slot[ids], (counts / max(counts.sum(), 1)).astype(np.float32)
+        kept.append((slot[ids], (counts / max(counts.sum(), 1)).astype(np.float32)))
+    bags = kept
     vectors = (rng.random((len(used), DIMENSIONS), dtype=np.float32) * 2 - 1) / DIMENSIONS
     softmax, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
     squares = [np.full(x.shape, 1e-8, np.float32) for x in (vectors[:, 0], softmax, bias)]
@@ -141,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in chunks(batch.column("text")):
-                found = _of_documents(data, offsets)
+                found = [_bounded(*f) for f in _of_documents(data, offsets)]
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id").slice(row, end - row),
