@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorgrid.llm.shared import stored
 from sensorgrid.llm.words import chunks
 
 WINDOW = 256
@@ -138,9 +139,14 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def train(docs: DataFrame, where: Column | None = None) -> tuple[list[str], Network | None]:
     """Fits on docs (doc_id, text, lang) that are not held out and satisfy `where`; the languages in order, and the network."""
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & has_letter("text") & ~held_out("doc_id"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
-    # Each task keeps its first MAX_PER_LANGUAGE of a language before the rows meet, so a common language is no hot group.
-    ids = told.select("doc_id", "lang").where(F.col("doc_id").isNotNull()).distinct().withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= MAX_PER_LANGUAGE)
+    ids = told.select("doc_id", "lang").where(F.col("doc_id").isNotNull()).distinct().withColumn("hash", F.xxhash64("doc_id", "lang").bitwiseAND(F.lit((1 << 63) - 1)))
+    # Counts by the hash's magnitude, 64 at most a language, tell which magnitudes hold a language's first; each has half of the
+    # rows of the next, so that about twice the wanted rows are left to be numbered, however many there are.
+    ids = stored(ids.withColumn("size", F.floor(F.log2(F.col("hash") + 1.0))), "labelled")
+    up_to = F.sum("n").over(Window.partitionBy("lang").orderBy("size"))
+    sizes = ids.groupBy("lang", "size").agg(F.count("*").alias("n")).withColumn("before", up_to - F.col("n")).where(F.col("before") < MAX_PER_LANGUAGE)
+    few = ids.join(sizes.select("lang", "size"), ["lang", "size"], "left_semi")
+    ids = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))).where(F.col("n") <= MAX_PER_LANGUAGE).drop("hash", "size")
     # The more languages, the fewer documents of each; every language keeps one at least.
     each = ids.where("n = 1").agg(F.greatest(F.lit(1), F.floor(F.lit(MAX_PER_LANGUAGE * MAX_LANGUAGES) / F.greatest(F.lit(1), F.count("*")))).alias("each"))
     chosen = ids.crossJoin(F.broadcast(each)).where("n <= each").select(F.col("doc_id").alias("chosen"), F.col("lang").alias("chosen_lang"))
