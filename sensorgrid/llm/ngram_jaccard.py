@@ -44,14 +44,14 @@ RECALL = 0.9995
 #: Hash functions of a signature: the more, the more rows a band may have and the fewer false candidates there are.
 MAX_HASHES = 160
 #: Classes on a side of a tile, and shingles, unless one text has more.
-BLOCK = 512
+BLOCK = 2048
 BLOCK_SHINGLES = 2 << 20
 #: Earlier bands by which a large bucket's classes are told apart.
 EARLIER = 6
 #: Bits of the map of wanted texts, which is sent to all tasks: 16 MiB.
 WANTED_BITS = 1 << 27
 #: Columns of a tile's matrix that are multiplied at once.
-_SLAB = 8192
+_SLAB = 2048
 
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -171,12 +171,11 @@ class Tile:
         left = self.rows[0]
         right = left if self.mirrored else self.rows[1]
         linked = _linked([r[3] for r in left], [r[3] for r in right], self.mirrored, threshold)
-        x, y = np.nonzero(linked)
-        if not len(x):
+        if not linked.any():
             return []
-        bands = [np.array([r[2][: self.band] for r in side], np.int64).reshape(len(side), -1) for side in (left, right)]
-        before = (bands[0][x] == bands[1][y]).any(axis=1)
-        linked[x[before], y[before]] = False
+        for k in range(self.band):
+            a, b = (np.array([r[2][k] for r in side], np.int64) for side in (left, right))
+            linked &= a[:, None] != b
         ids = [np.array([r[0] for r in side], np.int64) for side in (left, right)]
         copies = [np.array([r[1] for r in side], np.int64) for side in (left, right)]
         to_right = linked @ copies[1]
