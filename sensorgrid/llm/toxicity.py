@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorgrid.llm.words import ALNUM, LETTER, Words, _powers, chunks, mix
+from sensorgrid.llm.words import ALNUM, LETTER, P, Words, chunks, mix
 
 BUCKETS = 1 << 21
 DIMENSIONS = 8
@@ -63,15 +63,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     inside[place + 1] = kept
     inside = np.cumsum(inside)
     starts_at = offsets[:-1] + np.arange(docs)
-    powers, inverse = _powers(max(21, int(n).bit_length()))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(value * powers[:n], out=total[1:])
     for size in SIZES:
         m = n - size + 1
         if m <= 0:
             continue
         at = np.flatnonzero(inside[size - 1 : size - 1 + m] - inside[1 : 1 + m] == size - 2)
-        hashed = mix((total[at + size] - total[at]) * inverse[at] + np.uint64(size))
+        total = value[at + size - 1]
+        for j in range(size - 2, -1, -1):
+            total = total * P + value[at + j]
+        hashed = mix(total + np.uint64(size))
         yield (hashed >> _DROPPED).astype(np.int64), np.searchsorted(starts_at, at, side="right") - 1
 
 

@@ -8,17 +8,20 @@ A null text counts as an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 21
+#: Bytes whose words are hashed at once; the tables for this are all that stays in memory.
+BLOCK = 1 << 18
 
 #: Odd multiplier of the polynomial word hash, and its inverse modulo 2**64.
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
+P = np.uint64(_P)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,17 +52,27 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The first BLOCK powers of the multiplier, and of its inverse."""
     out = []
     for base in (_P, _P_INV):
-        steps = np.full(n, base, dtype=np.uint64)
+        steps = np.full(BLOCK, base, dtype=np.uint64)
         steps[0] = 1
         out.append(np.multiply.accumulate(steps))
     return out[0], out[1]
 
 
+def _polynomial(data: np.ndarray) -> np.uint64:
+    """The polynomial of one word of any length, BLOCK bytes at a time."""
+    total, factor, step = 0, 1, pow(_P, BLOCK, 1 << 64)
+    for at in range(0, len(data), BLOCK):
+        part = LETTER[data[at : at + BLOCK]]
+        total += int((part * _powers()[0][: len(part)]).sum(dtype=np.uint64)) * factor
+        factor = factor * step % (1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yields (first row, end row, bytes, offsets): rows whose texts hold up to `limit` bytes, or one longer text."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,13 +116,22 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word, A-Z taken as a-z."""
-        n = len(self.data)
-        if not len(self.starts):
-            return np.zeros(0, dtype=np.uint64)
-        powers, inverse = _powers(max(21, int(n).bit_length()))
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(LETTER[self.data] * powers[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * inverse[self.starts])
+        powers, inverse = _powers()
+        out, at = np.empty(len(self.starts), dtype=np.uint64), 0
+        while at < len(out):
+            begin = self.starts[at]
+            end = int(np.searchsorted(self.ends, begin + BLOCK, side="right"))
+            if end <= at:  # a word of more than BLOCK bytes
+                out[at] = _polynomial(self.data[begin : self.ends[at]])
+                at += 1
+                continue
+            letters = LETTER[self.data[begin : self.ends[end - 1]]]
+            total = np.zeros(len(letters) + 1, dtype=np.uint64)
+            np.cumsum(letters * powers[: len(letters)], out=total[1:])
+            starts = self.starts[at:end] - begin
+            out[at:end] = (total[self.ends[at:end] - begin] - total[starts]) * inverse[starts]
+            at = end
+        return mix(out)
 
     def owner(self) -> np.ndarray:
         """The document of each word."""
