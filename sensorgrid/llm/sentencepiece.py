@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -34,8 +35,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of text whose words are sorted into one trie.
 SLAB_CHARS = 1 << 21
-#: Words whose pieces a worker remembers, and a quarter as many as the pairs of pieces.
-REMEMBERED = 1 << 19
+#: Words whose pieces a worker remembers (those that a slab has more than once), and a quarter as many as the pairs of pieces.
+REMEMBERED = 1 << 17
 
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNIGRAM, MERGES = 1, 2
@@ -234,11 +235,16 @@ class Encoder:
             self.beside.clear()
         if len(self.lengths) > REMEMBERED:
             self.lengths.clear()
-        self.known.update(self.encode_sorted(sorted(set(every) - self.known.keys())))
+        times = Counter(every)
+        new = sorted(times.keys() - self.known.keys())
+        self.known.update(self.encode_sorted(new))
         found = list(map(self.known.__getitem__, every))
         flat = np.fromiter(chain.from_iterable(found), np.int32)
         ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
         at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        for word in new:
+            if times[word] == 1:
+                del self.known[word]
         return flat, np.diff(ends[at])
 
 
