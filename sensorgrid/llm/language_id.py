@@ -36,7 +36,9 @@ MAX_LANGUAGES = 200
 WINDOWS_EACH = 4
 EPOCHS, BATCH, RATE = 6, 32, 0.004
 #: Windows that go through the network at once.
-SLAB = 256
+SLAB = 128
+#: Bytes of text whose windows are made at once, unless one text has more.
+CHUNK = 1 << 19
 
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -129,11 +131,13 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """All windows of the texts (short ones padded), the text of each, and the bytes in each."""
     sizes = np.diff(offsets)
     n = -(-sizes // WINDOW)
+    first = np.cumsum(n) - n
     owner = np.repeat(np.arange(len(sizes)), n)
-    at = (np.arange(len(owner)) - (np.cumsum(n) - n)[owner]) * WINDOW
-    held = np.minimum(sizes[owner] - at, WINDOW)
-    place = np.minimum((offsets[:-1][owner] + at)[:, None] + np.arange(WINDOW), max(len(data) - 1, 0))
-    return np.where(np.arange(WINDOW) < held[:, None], data[place] if len(data) else 0, 0).astype(np.uint8), owner, held
+    held = np.minimum(sizes[owner] - (np.arange(len(owner)) - first[owner]) * WINDOW, WINDOW)
+    flat = np.zeros(len(owner) * WINDOW, np.uint8)
+    for at, a, b in zip((first * WINDOW).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        flat[at : at + b - a] = data[a:b]
+    return flat.reshape(-1, WINDOW), owner, held
 
 
 def train(docs: DataFrame, where: Column | None = None) -> tuple[list[str], Network | None]:
@@ -156,7 +160,7 @@ def train(docs: DataFrame, where: Column | None = None) -> tuple[list[str], Netw
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, ids = batch.column("lang").to_pylist(), batch.column("doc_id").to_pylist()
-            for row, _, data, offsets in chunks(batch.column("text")):
+            for row, _, data, offsets in chunks(batch.column("text"), CHUNK):
                 windows, owner, _ = windows_of(data, offsets)
                 first = np.searchsorted(owner, np.arange(len(offsets)))
                 take = np.unique(np.concatenate([np.linspace(a, b - 1, min(WINDOWS_EACH, b - a)).astype(int) for a, b in zip(first[:-1], first[1:], strict=True) if b > a]))
@@ -181,7 +185,7 @@ def train(docs: DataFrame, where: Column | None = None) -> tuple[list[str], Netw
 
 def mean_probabilities(column: pa.Array, network: Network) -> np.ndarray:
     out = []
-    for _, _, data, offsets in chunks(column):
+    for _, _, data, offsets in chunks(column, CHUNK):
         windows, owner, held = windows_of(data, offsets)
         weighted = network.probabilities(windows).astype(np.float64) * held[:, None]
         total = np.stack([np.bincount(owner, weighted[:, c], len(offsets) - 1) for c in range(weighted.shape[1])], axis=1)

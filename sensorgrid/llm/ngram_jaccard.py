@@ -178,22 +178,31 @@ class Tile:
             linked &= a[:, None] != b
         ids = [np.array([r[0] for r in side], np.int64) for side in (left, right)]
         copies = [np.array([r[1] for r in side], np.int64) for side in (left, right)]
-        to_right = linked @ copies[1]
+        to_right = np.concatenate([linked[at] @ copies[1] for at in _slices(len(left))])
         # The least node over links, spread until nothing changes.
         most = np.iinfo(np.int64).max
         roots = [ids[0].copy(), ids[1].copy()]
         while True:
-            over = np.minimum(roots[0], np.where(linked, roots[1][None, :], most).min(axis=1, initial=most))
-            back = np.minimum(over if self.mirrored else roots[1], np.where(linked, over[:, None], most).min(axis=0, initial=most))
+            over, back = roots[0].copy(), roots[1]
+            for at in _slices(len(left)):
+                over[at] = np.minimum(over[at], np.where(linked[at], roots[1][None, :], most).min(axis=1))
+            back = over if self.mirrored else back
+            for at in _slices(len(left)):
+                back = np.minimum(back, np.where(linked[at], over[at, None], most).min(axis=0))
             if (over == roots[0]).all() and (back == roots[1]).all():
                 break
             roots = [back, back] if self.mirrored else [over, back]
         found = list(zip(ids[0].tolist(), to_right.tolist(), roots[0].tolist(), strict=True))
         if not self.mirrored:
-            found += zip(ids[1].tolist(), (copies[0] @ linked).tolist(), roots[1].tolist(), strict=True)
+            found += zip(ids[1].tolist(), sum(copies[0][at] @ linked[at] for at in _slices(len(left))).tolist(), roots[1].tolist(), strict=True)
         return [x for x in found if x[1]]
 
 
+def _slices(n: int) -> list[slice]:
+    """Parts of a matrix's rows, so that what is computed of a large tile is small beside it."""
+    return [slice(at, at + 128) for at in range(0, n, 128)]
+
+
 def _linked(left: list[np.ndarray], right: list[np.ndarray], mirrored: bool, threshold: float) -> np.ndarray:
     """Boolean matrix: which sets are similar enough; none to itself if both sides are the same."""
     sizes = [np.array([len(s) for s in x], np.int64) for x in (left, right)]
@@ -204,15 +213,17 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray], mirrored: bool, thr
         return np.array([[0, 1], [1, 0]], bool) & bool(both >= threshold * (len(left[0]) + len(left[1]) - both) - 1e-9)
     every = left if mirrored else left + right
     value = np.concatenate(every)
-    owner = np.repeat(np.arange(len(every)), [len(s) for s in every])
+    owner = np.repeat(np.arange(len(every), dtype=np.int32), [len(s) for s in every])
     order = np.argsort(value, kind="stable")
     value, owner = value[order], owner[order]
+    del order
     new = np.ones(len(value), bool)
     new[1:] = value[1:] != value[:-1]
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column)[column] > 1
-    owner, column = owner[shared], column[shared]
-    column = np.cumsum(np.concatenate([[0], np.diff(column) != 0])) if len(column) else column
+    del value
+    shared = ~new  # a value that occurs once is in no intersection
+    shared[:-1] |= ~new[1:]
+    owner, column = owner[shared], np.cumsum(new[shared], dtype=np.int64) - 1
+    del new, shared
     both = np.zeros((len(left), len(right)), np.float32)
     total = int(column[-1]) + 1 if len(column) else 0
     for at in range(0, total, _SLAB):
@@ -220,8 +231,10 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray], mirrored: bool, thr
         slab = np.zeros((len(every), min(_SLAB, total - at)), np.float32)
         slab[owner[a:b], column[a:b] - at] = 1
         both += slab[: len(left)] @ (slab if mirrored else slab[len(left) :]).T
-    both = both.astype(np.float64)
-    linked = both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-9
+    linked = np.empty(both.shape, bool)
+    for at in _slices(len(left)):
+        met = both[at].astype(np.float64)
+        linked[at] = met >= threshold * (sizes[0][at, None] + sizes[1][None, :] - met) - 1e-9
     if mirrored:
         np.fill_diagonal(linked, False)
     return linked
