@@ -415,9 +415,13 @@ def nested_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_payload(captures(spark, sf_dir))
+
+
+def _with_payload(rows: DataFrame) -> DataFrame:
     """Captures with all that the formats hold; the payload is the id."""
     told = F.col("capture_id").cast("string")
-    return captures(spark, sf_dir).select(
+    return rows.select(
         told.alias("capture_id"), "ts_ms", "lat", "lon", F.array(F.length(told)).alias("dimensions"), F.lit("UINT8").alias("payload_type"), "metadata", told.cast("binary").alias("payload")
     )
 
@@ -475,7 +479,7 @@ def naive_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"with {_CAP} select {_KEPT}, json_extract_string(props, '$.k') as k from cap where {_BOX}")
 def block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All captures encoded as blocks and decoded within their task; then those of a box."""
-    return _read_back(BOX.apply(_through_blocks(_whole(spark, sf_dir))))
+    return _read_back(BOX.apply(_through_blocks(captures(spark, sf_dir))))
 
 
 def _through_blocks(rows: DataFrame) -> DataFrame:
@@ -486,4 +490,4 @@ def _through_blocks(rows: DataFrame) -> DataFrame:
             records = b"".join(map(block.encode, batch.to_pylist()))
             yield from block.batches(struct.pack("<i", 4 + len(records)) + records, "block")
 
-    return rows.mapInArrow(run, CAPTURE_DDL)
+    return _with_payload(rows).mapInArrow(run, CAPTURE_DDL)
