@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorgrid.llm.shared import stored
-from sensorgrid.llm.words import ALNUM, Words, chunks, expand, grams
+from sensorgrid.llm.words import ALNUM, Words, chunks, expand, giving_back, grams
 
 WINDOW = 13
 GRAM = 5
@@ -199,7 +199,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, window: int, gram: int) ->
         for batch in batches:
             yield _result(batch, list(scan(_HELD[name], batch.column("text"))), keep)
 
-    return docs.mapInArrow(run, _schema(docs))
+    return docs.mapInArrow(giving_back(run), _schema(docs))
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
@@ -214,7 +214,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> Da
                 n = np.unique(np.diff(Words(data, offsets, ALNUM).first))
                 yield pa.record_batch({"n": pa.array(n[(n > 0) & (n < window)], pa.int64())})
 
-    short = sorted(r.n for r in items.select(F.col("item_text").alias("text")).mapInArrow(lengths, "n long").distinct().collect())  # fewer than `window` rows
+    short = sorted(r.n for r in items.select(F.col("item_text").alias("text")).mapInArrow(giving_back(lengths), "n long").distinct().collect())  # fewer than `window` rows
 
     def prints(name: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +236,8 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> Da
 
         return run
 
-    of_docs = keyed.select(*key, "text").mapInArrow(prints("doc"), "k1 long, k2 long, print long, kind int").distinct()
-    of_items = items.select("item", F.col("item_text").alias("text")).mapInArrow(prints("item"), "item string, print long, kind int")
+    of_docs = keyed.select(*key, "text").mapInArrow(giving_back(prints("doc")), "k1 long, k2 long, print long, kind int").distinct()
+    of_items = items.select("item", F.col("item_text").alias("text")).mapInArrow(giving_back(prints("item")), "item string, print long, kind int")
     pairs = stored(of_docs.join(of_items, ["print", "kind"]).select(*key, "item").distinct(), "shared")
     texts = keyed.select(*key, "text").join(pairs.select(*key).distinct(), key, "left_semi").dropDuplicates(key)
     rows = texts.select(*key, F.lit("").alias("item"), F.lit(0).alias("order"), "text").union(pairs.join(items, "item").select(*key, "item", F.lit(1).alias("order"), "item_text"))
@@ -267,7 +267,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> Da
             yield told()
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hits = rows.repartition(tasks, *key).sortWithinPartitions(*key, "order").mapInArrow(verify, "k1 long, k2 long, n_hit long, n_items long, items_sha256 string")
+    hits = rows.repartition(tasks, *key).sortWithinPartitions(*key, "order").mapInArrow(giving_back(verify), "k1 long, k2 long, n_hit long, n_items long, items_sha256 string")
     joined = keyed.join(stored(hits, "hits"), key, "left").drop(*key)
     keep = "kept" in docs.columns
     none = _digest(set())
@@ -278,7 +278,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> Da
             n_hit, n_items, ids = (batch.column(c).to_pylist() for c in ("n_hit", "n_items", "items_sha256"))
             yield _table(batch, n_words, [h or 0 for h in n_hit], [n or 0 for n in n_items], [i or none for i in ids], keep)
 
-    return joined.mapInArrow(finish, _schema(docs))
+    return joined.mapInArrow(giving_back(finish), _schema(docs))
 
 
 _HITS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorgrid.llm.shared import stored
-from sensorgrid.llm.words import chunks
+from sensorgrid.llm.words import chunks, giving_back
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -172,7 +172,7 @@ def train(docs: DataFrame, where: Column | None = None) -> tuple[list[str], Netw
                     }
                 )
 
-    found = sample.select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, bytes binary").distinct().toArrow()
+    found = sample.select("doc_id", "lang", "text").mapInArrow(giving_back(cut), "doc_id long, lang string, bytes binary").distinct().toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("bytes", "ascending")])
     langs = np.array(found.column("lang").to_pylist(), dtype=object)
     names = sorted(set(langs.tolist()))
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, names: list[str], network: Network | None, keep: tu
             }
             yield pa.record_batch(columns | ({"text": told, "kept": batch.column("kept")} if keep else {}))
 
-    return rows.mapInArrow(run, SCHEMA + kept)
+    return rows.mapInArrow(giving_back(run), SCHEMA + kept)
 
 
 def train_and_predict(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from sensorgrid.llm.components import components
 from sensorgrid.llm.shared import stored
-from sensorgrid.llm.words import ALNUM, Words, chunks, grams, mix
+from sensorgrid.llm.words import ALNUM, Words, chunks, giving_back, grams, mix
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -302,7 +302,7 @@ def join_similar(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     names the class, class_id is the least id in it (null if it has none)."""
     bands, rows = bands_and_rows(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    sketch = stored(docs.mapInArrow(_sketch(n, bands, rows, threshold), "doc_id long, text_hash long, f1 long, f2 long, size long, bands array<long>"), "sketch")
+    sketch = stored(docs.mapInArrow(giving_back(_sketch(n, bands, rows, threshold)), "doc_id long, text_hash long, f1 long, f2 long, size long, bands array<long>"), "sketch")
     classes = sketch.groupBy("f1", "f2").agg(
         F.count("*").alias("n_copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("told"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")
     )
@@ -313,11 +313,11 @@ def join_similar(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     wanted = tiles.select("node").distinct().join(classes.select("node", F.col("n_copies").alias("copies"), "bands", F.col("told.doc_id").alias("told_id"), F.col("told.text_hash").alias("told_hash")), "node")
     wanted = stored(wanted, "wanted")
     sent = docs.sparkSession.sparkContext.broadcast(_marked(wanted.select(F.col("told_hash").alias("text_hash"))))
-    sets = docs.mapInArrow(_sets(n, sent), "doc_id long, text_hash long, shingles binary").dropDuplicates(["doc_id", "text_hash"])
+    sets = docs.mapInArrow(giving_back(_sets(n, sent)), "doc_id long, text_hash long, shingles binary").dropDuplicates(["doc_id", "text_hash"])
     fetched = sets.join(wanted, sets.doc_id.eqNullSafe(wanted.told_id) & (sets.text_hash == wanted.told_hash)).select("node", "copies", "bands", "shingles")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tiles.join(fetched, "node").repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    verified = stored(dealt.select("band", "b", "i", "j", "side", "node", "copies", "bands", "shingles").mapInArrow(_verify(threshold), "node long, links long, root long"), "verified")
+    verified = stored(dealt.select("band", "b", "i", "j", "side", "node", "copies", "bands", "shingles").mapInArrow(giving_back(_verify(threshold)), "node long, links long, root long"), "verified")
 
     found = components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorgrid.llm.words import giving_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of text whose words are sorted into one trie.
@@ -305,7 +307,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(giving_back(run), SCHEMA)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -319,4 +321,4 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFram
             texts = decoder.decode(held.flatten().to_numpy(zero_copy_only=False), np.diff(held.offsets.to_numpy()))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": pa.array([t.decode(errors="replace") for t in texts], pa.string())})
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(giving_back(run), "doc_id long, text string")

@@ -7,7 +7,8 @@ A null text counts as an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -91,6 +92,26 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         row = end
 
 
+@cache
+def _trim() -> Callable | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def giving_back(run: Callable) -> Callable:
+    """`run`, a function over a task's batches, after which freed memory goes back to the system: workers stay for later
+    tasks, and the allocators would keep what the largest of all tasks took."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+
+    return whole
+
+
 class Words:
     """The words of the documents in a chunk.
 

@@ -25,3 +25,12 @@ def test_hashes_equal_plain_polynomials():
         known: dict[str, int] = {}
         wanted = [known.setdefault(w, plain(w.encode())) for t in texts for w in (t or "").lower().split()]
         assert found == wanted
+
+
+def test_memory_goes_back_after_all_batches_or_an_early_end():
+    run = words.giving_back(lambda batches: (2 * b for b in batches))
+    assert list(run(iter([1, 2, 3]))) == [2, 4, 6] and list(run(iter([]))) == []
+    begun = run(iter([1, 2, 3]))
+    assert next(begun) == 2
+    begun.close()
+    assert list(begun) == []
