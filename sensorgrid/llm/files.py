@@ -50,7 +50,7 @@ def mapped(uri: str) -> np.ndarray:
         with os.fdopen(handle, "wb") as out, system.open_input_stream(place) as source:
             while block := source.read(1 << 22):
                 out.write(block)
-    array = np.load(path, mmap_mode="r")
+    array = np.asarray(np.load(path, mmap_mode="r"))  # a plain array of the map: np.memmap's own indexing is slow
     if remote:
         os.remove(path)
     return array

@@ -88,11 +88,16 @@ def _joined(ids: np.ndarray, shards: int) -> np.ndarray:
     return mix(total) >> np.uint64(24 - _leading(shards)) << np.uint64(24 - _leading(shards))
 
 
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct one of sorted keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys in order, the place of one of each, and sums of the values, in 64 bits where 32 may not do."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    starts = _firsts(keys)
     kinds = [np.uint32 if v.sum(dtype=np.uint64) < 1 << 32 else np.uint64 for v in values]
     return keys[starts], order[starts], [np.add.reduceat(v[order], starts, dtype=k) if len(starts) else v[:0] for v, k in zip(values, kinds, strict=True)]
 
@@ -145,13 +150,25 @@ def _rows(level: int, part: str, keys: np.ndarray, shards: int, packed: Callable
     return pa.record_batch([pa.array([level] * len(some), pa.int32()), pa.array(["gram"] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array([part] * len(some), pa.string()), pa.array(told, pa.binary())], schema=_ROW)
 
 
+def _order(rows: np.ndarray) -> np.ndarray:
+    """An order of rows of numbers by as many of their leading bits as one key of 64 takes: by the first number whole, then by the next."""
+    key, left = np.zeros(len(rows), np.uint64), 64
+    for column in rows.T:
+        column, bits = column.astype(np.uint64), max(1, int(column.max(initial=0)).bit_length())
+        left -= bits
+        key |= column << np.uint64(left) if left >= 0 else column >> np.uint64(-left)
+        if left <= 0:
+            break
+    return np.argsort(key)
+
+
 def _gram_rows(level: int, part: str, ids: np.ndarray, counts: list[np.ndarray], shards: int) -> pa.RecordBatch:
     keys, place, counts = _summed(_joined(ids, shards), *counts)
     ids = ids[place]
 
     def packed(mine: slice) -> bytes:
         rows = ids[mine]
-        order = np.lexsort(rows.T[::-1])
+        order = _order(rows)
         rows = rows[order]
         return _packed([_steps(rows[:, 0]), *rows.T[1:], *(c[mine][order] for c in counts)])
 
@@ -254,11 +271,13 @@ def _reduce(path: str, shards: int, order: int):
         else:
             contexts, told = _gathered(table, "context", level)
             others, _, told = _summed(_joined(contexts, shards), *told)
-            every = np.union1d(keys, others)
+            every = np.sort(np.concatenate([keys, others]))
+            every = every[_firsts(every)]
             counts = np.zeros((len(every), 5), np.uint64 if any(c.dtype == np.uint64 for c in (seen, *told)) else np.uint32)
             counts[np.searchsorted(every, keys), 0] = seen
+            place = np.searchsorted(every, others)
             for j, c in enumerate(told):
-                counts[np.searchsorted(every, others), j + 1] = c
+                counts[place, j + 1] = c
             _write_grams(f"{path}/gram{level}-{shard}", every, counts, shard, shards)
             del contexts, others, every, counts
         out = [_totals(level, shard, np.array([*((seen == k).sum() for k in (1, 2, 3, 4)), len(seen), seen.sum(dtype=np.int64)], np.int64))]
@@ -271,17 +290,23 @@ def _reduce(path: str, shards: int, order: int):
     return run
 
 
+def _any(told: np.ndarray) -> np.ndarray:
+    """Which rows have a true column; there are few columns."""
+    return np.logical_or.reduce(list(told.T))
+
+
 def _write_counts(name: str, counts: np.ndarray) -> None:
     """Counts take a byte each; rows with one of _LARGE or more are written whole, after their places."""
-    large = np.flatnonzero((counts >= _LARGE).any(axis=1))
+    large = np.flatnonzero(_any(counts >= _LARGE))
     write_array(f"{name}-counts.npy", np.minimum(counts, _LARGE).astype(np.uint8))
     write_array(f"{name}-large.npy", np.concatenate([large[:, None], counts[large].astype(np.int64)], axis=1))
 
 
 def _counts(name: str, at: np.ndarray) -> np.ndarray:
     """Rows of counts at sorted places."""
-    found = mapped(f"{name}-counts.npy")[at].astype(np.int64)
-    beyond = np.flatnonzero((found == _LARGE).any(axis=1))
+    found = mapped(f"{name}-counts.npy")[at]
+    beyond = np.flatnonzero(_any(found == _LARGE))
+    found = found.astype(np.int64)
     if len(beyond):
         large = mapped(f"{name}-large.npy")
         found[beyond] = large[np.searchsorted(large[:, 0], at[beyond]), 1:]
@@ -362,33 +387,33 @@ class Model:
             y = n1 / (n1 + 2 * n2)
             self.discounts[level] = np.array([0.0, *(min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
 
-    def _find(self, level: int, keys: np.ndarray) -> np.ndarray:
-        """Rows of counts of the keys (0 where there are none)."""
+    def _find(self, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of counts of the distinct keys (0 where there are none), and each key's row."""
         distinct, back = np.unique(keys, return_inverse=True)
         cuts = _cuts(distinct, self.words.shards)
         out = np.zeros((len(distinct), 1 if level == self.order else 5), np.int64)
         for s in np.flatnonzero((np.diff(cuts) > 0) & self.present[level]):
             ok, counts = _found(f"{self.words.path}/gram{level}-{s}", distinct[cuts[s] : cuts[s + 1]], int(s), self.words.shards)
             out[cuts[s] + ok] = counts
-        return out[back]
+        return out, back
 
     def probabilities(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of each token, given the ones before it. An n-gram's context is the shorter n-gram that ends one token before."""
         n1, n2, _, _, types, total = (int(x) for x in self.continuations)
-        d, p, before = self.discounts[1], np.full(len(place), 1.0 / (self.words.size + 1)), None
+        p = np.full(len(place), 1.0 / (self.words.size + 1))
         for level in range(1, self.order + 1):
             grams = np.stack([np.roll(ids, j) for j in range(level - 1, -1, -1)], axis=1)
-            rows = self._find(level, _joined(grams, self.words.shards))
-            c, d = rows[place, 0], self.discounts[level]
-            discounted = np.maximum(c - d[np.minimum(c, 3)], 0)
+            rows, back = self._find(level, _joined(grams, self.words.shards))
+            c, d = rows[:, 0], self.discounts[level]
+            discounted = np.maximum(c - d[np.minimum(c, 3)], 0)[back[place]]
             if level == 1:
                 if total:
                     p = discounted / total + (d[1] * n1 + d[2] * n2 + d[3] * (types - n1 - n2)) / total * p
             else:
-                stats = before[place - 1, 1:]
-                total = np.maximum(stats[:, 0], 1)
-                p = np.where(stats[:, 0] > 0, discounted / total + (stats[:, 1:] @ d[1:]) / total * p, p)
-            before = rows
+                p = np.where(seen > 0, discounted / np.maximum(seen, 1) + freed * p, p)
+            if level < self.order:  # of each token's context at the next level: its total, and the share that discounts free
+                d, at = self.discounts[level + 1], back[place - 1]
+                seen, freed = rows[:, 1][at], ((rows[:, 2] * d[1] + rows[:, 3] * d[2] + rows[:, 4] * d[3]) / np.maximum(rows[:, 1], 1))[at]
         return p
 
     def score(self, column: pa.Array) -> dict[str, np.ndarray]:
