@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import math
+import os
 import re
 import time
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sensorgrid.llm import language_model
+from sensorgrid.llm import files, language_model
 from sensorgrid.llm.language_model import train_and_score
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -136,3 +137,16 @@ def test_rows_are_sorted_by_single_keys():
 
     columns = least(lambda: (np.argsort(keys, kind="stable"), np.lexsort(ids.T[::-1])))
     assert least(lambda: language_model._gram_rows(3, "seen", ids, [ones], 8)) < 0.8 * columns
+
+
+@pytest.mark.skipif(files.LOCAL_MAPS < 2100, reason="maps keep descriptors before Python 3.13")
+def test_maps_of_many_shards_stay_open(tmp_path):
+    """More files than a model of 128 shards has are mapped once each, without descriptors; arrays of any order and no size come back."""
+    for i in range(2100):
+        files.write_array(f"{tmp_path}/{i}.npy", np.arange(i % 3))
+    arrays = [files.mapped(f"{tmp_path}/{i}.npy") for i in range(2100)]
+    assert all(a.tolist() == list(range(i % 3)) for i, a in enumerate(arrays))
+    assert all(files.mapped(f"{tmp_path}/{i}.npy") is a for i, a in enumerate(arrays))
+    assert sum(str(tmp_path) in os.path.realpath(f"/proc/self/fd/{x}") for x in os.listdir("/proc/self/fd")) == 0
+    files.write_array(f"{tmp_path}/columns.npy", np.arange(6).reshape(2, 3).T)
+    assert files.mapped(f"file://{tmp_path}/columns.npy").tolist() == [[0, 3], [1, 4], [2, 5]]
